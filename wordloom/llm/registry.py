@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "merge_automaton", "quality")
+_MODULES = ("packing", "merge_automaton", "quality", "pii")
 
 
 def _all(name: str) -> dict:
