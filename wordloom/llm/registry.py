@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "merge_automaton", "quality", "pii", "licenses", "token_counts", "warc", "media", "substrings")
+_MODULES = ("packing", "merge_automaton", "quality", "pii", "licenses", "token_counts", "warc", "media", "substrings", "near_dups")
 
 
 def _all(name: str) -> dict:
