@@ -16,9 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The two columns that an operator reads, under fixed names; a null text is empty, other columns are dropped."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns that an operator reads, under fixed names; a null text is empty. Other columns are dropped, but for
+    those to carry, which go by names of their own so that they clash with none of the operator's."""
+    others = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), *others)
+
+
+def carried(carry: tuple[str, ...]) -> list:
+    """The carried columns under their own names again."""
+    return [F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

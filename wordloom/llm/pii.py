@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import table, texts
+from wordloom.llm.common import carried, table, texts
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind, pattern, what a text must contain, base score, context words. The first four are the base kinds.
@@ -74,12 +74,13 @@ def _placed(zipped: Column) -> Column:
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text and spans: an array of structs of start, order (of the kind), end, kind, score, base; by start, then kind.
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and spans: an array of structs of start, order (of the kind), end, kind, score, base; by start, then kind;
+    and the columns of docs to carry.
 
     A null or empty text has no spans. Each row of docs gives one row; spans of different kinds may overlap.
     """
-    own = texts(docs, doc_id, text)
+    own = texts(docs, doc_id, text, carry)
     matches = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p, *_ in KINDS}
     own = own.withColumns({f"m_{k}": F.when(F.contains("text", F.lit(need)), matches[k]) if need else matches[k] for k, _, need, *_ in KINDS})
     own = own.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.arrays_zip(F.slice(F.split("text", p, -1), 1, F.size(f"m_{k}")).alias("before"), F.col(f"m_{k}").alias("value"))) for k, p, *_ in KINDS})
@@ -97,7 +98,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         return F.coalesce(made, F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double,base:boolean>>"))
 
     spans = F.concat(*[scored(i, k, least, words) for i, (k, _, _, least, words) in enumerate(KINDS)])
-    return own.select("doc_id", "text", F.array_sort(F.filter(spans, lambda x: x["base"] | (x["score"] >= ACCEPTED))).alias("spans"))
+    return own.select("doc_id", "text", F.array_sort(F.filter(spans, lambda x: x["base"] | (x["score"] >= ACCEPTED))).alias("spans"), *carried(carry))
 
 
 def redacted(text: Column, spans: Column) -> Column:

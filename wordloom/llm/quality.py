@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def fit(docs: DataFrame, labels: DataFrame | None, bits: int = BITS, labelled: i
     return Model(ratio, float(low if not len(below) else (low + below[-1]) / 2))
 
 
+def _judged(column: pa.Array, ratio: np.ndarray | None, threshold: float, bits: int) -> dict[str, np.ndarray]:
+    w = kernel.words(column)
+    hashes = w.hashes()
+    n_words = np.diff(w.first)
+
+    def total(of_bytes: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(of_bytes)))
+        return sums[w.ends[1:]] - sums[w.ends[:-1]]
+
+    lines = np.zeros(len(column), np.int64)
+    for i, text in enumerate(column.to_pylist()):
+        full = [x for x in text.split("\n") if x.strip(_WHITE)]
+        lines[i] = len(full) - len(set(full))
+    value, begin = w.windows(hashes, 5)
+    value = kernel.mix(value + w.doc[begin].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(value, kind="stable")
+    same = value[order][1:] == value[order][:-1]
+    again = begin[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(order) else begin
+    begins = np.bincount(again, minlength=len(hashes) + 5)
+    cover = begins - np.concatenate((np.zeros(5, np.int64), begins[:-5]))
+    repeated = w.per_doc(np.cumsum(cover[: len(hashes)]) > 0).astype(np.int64)
+    scores = _scores(w, hashes, ratio, bits)
+    failed = (n_words < 10) | (100 * repeated > 20 * n_words)
+    chars = total(~kernel._SPACE[w.data] & ((w.data & 0xC0) != 0x80))
+    return {"n_words": n_words, "word_chars": chars, "n_symbols": total(_SYMBOL[w.data]), "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed, "score": scores, "kept": ~failed & (scores >= threshold)}
+
+
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     """Statistics, score and verdicts of every row of docs (doc_id, text): a text without words has zeros and fails the base rules."""
 
@@ -117,27 +145,7 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
         ratio, threshold = model.ratio, model.threshold
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column("text")
-            w = kernel.words(column)
-            hashes = w.hashes()
-            n_words = np.diff(w.first)
-            total = lambda of_bytes: (lambda s: s[w.ends[1:]] - s[w.ends[:-1]])(np.concatenate(([0], np.cumsum(of_bytes))))
-            chars = total(~kernel._SPACE[w.data] & ((w.data & 0xC0) != 0x80))
-            symbols = total(_SYMBOL[w.data])
-            lines = np.zeros(len(column), np.int64)
-            for i, text in enumerate(column.to_pylist()):
-                full = [x for x in text.split("\n") if x.strip(_WHITE)]
-                lines[i] = len(full) - len(set(full))
-            value, begin = w.windows(hashes, 5)
-            value = kernel.mix(value + w.doc[begin].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(value, kind="stable")
-            same = value[order][1:] == value[order][:-1]
-            again = begin[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(order) else begin
-            cover = np.bincount(again, minlength=len(hashes) + 5) - np.concatenate((np.zeros(5, np.int64), np.bincount(again, minlength=len(hashes) + 5)[:-5]))
-            repeated = w.per_doc(np.cumsum(cover[: len(hashes)]) > 0)
-            scores = _scores(w, hashes, ratio, bits)
-            failed = (n_words < 10) | (100 * repeated > 20 * n_words)
-            columns = {"doc_id": batch.column("doc_id"), "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed, "score": scores, "kept": ~failed & (scores >= threshold)}
+            columns = {"doc_id": batch.column("doc_id")} | _judged(batch.column("text"), ratio, threshold, bits)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
         return run
@@ -151,6 +159,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_
     return score(own, fit(own, labels))
 
 
+def keep(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules and the model keep: one more pass, no shuffle."""
+    model = fit(texts(docs, doc_id, text), labels, bits)
+
+    def make():
+        ratio, threshold = model.ratio, model.threshold
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(_judged(pc.fill_null(batch.column(text), ""), ratio, threshold, bits)["kept"]))
+
+        return run
+
+    return map_batches(docs, make, docs.schema, text)
+
+
 def op8_hashed_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and verdicts."""
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

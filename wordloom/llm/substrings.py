@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel
-from wordloom.llm.common import cut, partitions, table, texts
+from wordloom.llm.common import carried, cut, partitions, table, texts
 
 WINDOW, SEED = 13, 5
 #: Blocks for each shuffle partition, so that they fill partitions evenly.
@@ -196,7 +196,7 @@ def _listed(of_row: np.ndarray, rows: int, **columns: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], list(columns)))
 
 
-def _resolve(k: int, seed: int, form: str):
+def _resolve(k: int, seed: int, form: str, also: list[str]):
     def run(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         block = _Block(rows, k, seed)
         w, n_rows = block.words, rows.num_rows
@@ -240,34 +240,35 @@ def _resolve(k: int, seed: int, form: str):
                 split = text.encode().split()
                 joined = b" ".join(compress(split, keep[a:b].tolist()) if n_removed[i] else split)
                 made.append(hashlib.sha256(joined).hexdigest() if form == "digest" else joined.decode())
-        return pa.table({"doc_id": block.rows["doc_id"], "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept": pa.array(made, pa.string()), "spans": spans, "segments": segments})
+        return pa.table({"doc_id": block.rows["doc_id"], "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept": pa.array(made, pa.string()), "spans": spans, "segments": segments} | {c: block.rows[c] for c in (x.split(" ")[0] for x in also)})
 
-    return run, f"doc_id long, n_words long, n_removed long, kept string, spans array<{_SPAN}>, segments array<{_SEGMENT}>"
+    return run, ", ".join(["doc_id long, n_words long, n_removed long, kept string", f"spans array<{_SPAN}>, segments array<{_SEGMENT}>", *also])
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW, seed: int = SEED, form: str = "words") -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW, seed: int = SEED, form: str = "words", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a window of k words covers whose words also start in a document of smaller id.
 
     One row for each row of docs: doc_id, n_words, n_removed, kept, spans (removed passages: start and length in words,
     the source document and the place there) and segments (runs of edges whose source this document is: start, number of
     edges, hashes of the first and last node). kept is, by `form`: "words", the words left, joined by one space; "cut",
-    the text without the removed words and the white space behind them; "digest", the SHA-256 of the former.
+    the text without the removed words and the white space behind them; "digest", the SHA-256 of the former. Columns of docs
+    to carry come behind these.
 
     Windows are judged on the input. A null or empty text has no words. Rows with one id are one document; rows without
     an id count as having the largest. Texts shorter than k words keep all.
     """
     parts = partitions(docs.sparkSession)
-    own = texts(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    blocks = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(_BLOCKS * parts)).alias("block"), "doc_id", "text").repartition(parts, "block")
+    own = texts(docs, doc_id, text, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    blocks = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(_BLOCKS * parts)).alias("block"), "*").repartition(parts, "block")
     run, schema = _ask_seeds(k, seed, parts)
     asked = blocks.groupBy("block").applyInArrow(run, schema).repartition(parts, "part")
     told = asked.groupBy("part").applyInArrow(_answer_seeds, "block long, part int, n long, kept binary").repartition(parts, "block")
     run, schema = _ask_edges(k, seed, parts)
     asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema).repartition(parts, "part")
     told = asked.groupBy("part").applyInArrow(_answer_edges, "block long, part int, n long, repeated binary, source binary, source_place binary, kept binary").repartition(parts, "block")
-    run, schema = _resolve(k, seed, form)
+    run, schema = _resolve(k, seed, form, [f.simpleString().replace(":", " ", 1) for f in own.schema[2:]])
     found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    return found.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept", "spans", "segments", *carried(carry))
 
 
 def paths(found: DataFrame) -> DataFrame:
