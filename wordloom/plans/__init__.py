@@ -1,0 +1 @@
+"""Inputs that both engines can build, and small planning helpers."""
