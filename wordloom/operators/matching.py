@@ -26,7 +26,7 @@ def match_all(docs: DataFrame, patterns: list[str], column: str = "text", doc_id
         by_length.setdefault(len(p), []).append(p)
     if not by_length:
         return docs.select(doc_id, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("pattern")).limit(0)
-    grams = _doubled(docs.select(doc_id, F.split(column, "").alias("g1")), max(by_length))
+    grams = _doubled(docs.filter(has_any(F.col(column), patterns)).select(doc_id, F.split(column, "").alias("g1")), max(by_length))
     found = None
     for length, own in sorted(by_length.items()):
         wanted = spark.createDataFrame([(p,) for p in own], "pattern string")

@@ -54,7 +54,7 @@ class Literal:
 
     def sql(self) -> str:
         """A DuckDB subquery with the same rows and types."""
-        names = ", ".join(n for n, _ in self.fields)
-        casts = ", ".join(f"CAST({n} AS {self.DUCK[t]}) AS {n}" for n, t in self.fields)
+        names = ", ".join(f'"{n}"' for n, _ in self.fields)
+        casts = ", ".join(f'CAST("{n}" AS {self.DUCK[t]}) AS "{n}"' for n, t in self.fields)
         rows = ", ".join("(" + ", ".join(map(self._quoted, r)) + ")" for r in self.rows)
         return f"(SELECT {casts} FROM (VALUES {rows}) AS raw({names}))"

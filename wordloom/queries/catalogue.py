@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("corpus", "phrases", "stats")
+_MODULES = ("corpus", "phrases", "stats", "terms", "rules", "meta")
 
 
 def _all(name: str) -> dict:
