@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import arabic
 
@@ -78,7 +79,7 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     """All HTML entities, by Arrow batches."""
     from html import unescape
