@@ -91,10 +91,10 @@ def test_rotation(spark):
 
 
 def test_registers():
-    assert rules.applies("applies_typography", "news") and rules.applies("typography", "news")
+    assert rules.applies("applies_calque_dictionary", "news") and rules.applies("calque_dictionary", "opinion") and not rules.applies("calque_dictionary", "classical")
     assert not rules.applies("unheard", "news")
     with pytest.raises(rules.UnknownRegisterError):
-        rules.applies("typography", "nowhere")
+        rules.applies("calque_dictionary", "nowhere")
 
 
 def test_gates_are_near_their_probability(spark):

@@ -12,31 +12,38 @@ from pyspark.sql import functions as F
 from wordloom.functions import text
 from wordloom.operators import matching
 
-REGISTERS = ("academic", "literary", "news", "casual")
-#: Register -> the transforms that apply.
+#: All flags, and those that are on by register.
+FLAGS = ("applies_calque_dictionary", "applies_connector_rebalance", "preserves_borrowings", "allows_passive_voice_relaxation", "tashkeel_reduction", "applies_rhetorical_figures")
 POLICY = {
-    "academic": {"calque_substitution": True, "connector_swap": True, "filler_insertion": False, "quote_rotation": False, "typography": True, "restraint": True},
-    "literary": {"calque_substitution": True, "connector_swap": True, "filler_insertion": True, "quote_rotation": False, "typography": True, "restraint": False},
-    "news": {"calque_substitution": True, "connector_swap": True, "filler_insertion": False, "quote_rotation": True, "typography": True, "restraint": True},
-    "casual": {"calque_substitution": False, "connector_swap": True, "filler_insertion": True, "quote_rotation": False, "typography": False, "restraint": False},
+    "classical": ("applies_connector_rebalance", "preserves_borrowings", "applies_rhetorical_figures"),
+    "news": ("applies_calque_dictionary", "applies_connector_rebalance", "allows_passive_voice_relaxation", "tashkeel_reduction"),
+    "opinion": ("applies_calque_dictionary", "applies_connector_rebalance", "allows_passive_voice_relaxation", "tashkeel_reduction"),
+    "technical": ("preserves_borrowings",),
 }
 _ARABIC = r"[؀-ۿ]"
 
 
-class UnknownRegisterError(KeyError):
+class UnknownRegisterError(ValueError):
     pass
 
 
 def policy(spark: SparkSession) -> DataFrame:
-    """register, transform, applies."""
-    return spark.createDataFrame([(r, t, on) for r, own in POLICY.items() for t, on in own.items()], "register string, transform string, applies boolean")
+    """register, flag, enabled."""
+    return spark.createDataFrame([(r, f, f in own) for r, own in POLICY.items() for f in FLAGS], "register string, flag string, enabled boolean")
+
+
+def gated_by(docs: DataFrame, transform: str, register: str = "register") -> DataFrame:
+    """docs with `enabled`: does the transform apply in the document's register? An unknown register stops the query."""
+    flag = transform if transform.startswith("applies_") else f"applies_{transform}"
+    known = F.col(register).isin(*POLICY)
+    return docs.withColumn("enabled", F.when(known, F.col(register).isin(*[r for r, own in POLICY.items() if flag in own])).otherwise(F.raise_error(F.concat(F.lit("unknown register: "), F.coalesce(register, F.lit("null"))))))
 
 
 def applies(transform: str, register: str) -> bool:
     """An unknown transform never applies; an unknown register is an error. The prefix applies_ may be left out."""
     if register not in POLICY:
-        raise UnknownRegisterError(register)
-    return POLICY[register].get(transform.removeprefix("applies_"), False)
+        raise UnknownRegisterError(f"unknown register {register!r}; known: {', '.join(sorted(POLICY))}")
+    return (transform if transform.startswith("applies_") else f"applies_{transform}") in POLICY[register]
 
 
 def gate(doc_id: Column, rule: int, probability: float) -> Column:

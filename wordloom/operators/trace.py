@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What may have triggered a record; others are `other`, with the raw value kept.
-TRIGGERS = ("lookup_hit", "term_hint_injected", "calque_replaced", "guard_blocked", "typography_applied", "filler_inserted", "connector_swapped", "restraint_flagged", "validation_failed", "view", "click", "purchase")
+#: What may have triggered a record; anything else is `other`, with the raw value kept.
+TRIGGERS = (
+    "term_hint_injected", "calque_correction_applied", "lex_substitution_fired", "intensifier_destacked", "typography_normalized", "anti_pattern_detected", "terminology_confirmed", "cross_vendor_correction",
+    "humanizer_gate_decision", "language_check_failed", "compatibility_refused", "other",
+)
+#: The triggers that event types stand for.
+OF_EVENTS = {"view": "term_hint_injected", "click": "lex_substitution_fired", "purchase": "terminology_confirmed"}
+
+
+def raw_trigger(event_type: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in OF_EVENTS.items() for x in kv]), event_type), event_type)
 
 
 def trigger(column: Column) -> Column:
@@ -16,7 +25,7 @@ def trigger(column: Column) -> Column:
 def records(events: DataFrame) -> DataFrame:
     """Events as trace records: trace_id, seq (from 0, by time), asset_id, stage, trigger, trigger_raw (of others alone)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    raw = F.col("event_type")
+    raw = raw_trigger(F.col("event_type"))
     return events.select(
         F.col("user_id").alias("trace_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "event_id", F.concat(F.lit("asset-"), (F.col("event_id") % 12).cast("string")).alias("asset_id"),
         F.when(F.col("value") > 50, "rewrite").otherwise("unspecified").alias("stage"), trigger(raw).alias("trigger"), F.when(~raw.isin(*TRIGGERS), raw).alias("trigger_raw"),
@@ -38,7 +47,7 @@ def summary(trace: DataFrame) -> DataFrame:
 
 def hourly(events: DataFrame) -> DataFrame:
     """hour, trigger, n."""
-    return events.groupBy(F.window("ts", "1 hour").alias("w"), trigger(F.col("event_type")).alias("trigger")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "trigger", "n")
+    return events.groupBy(F.window("ts", "1 hour").alias("w"), trigger(raw_trigger(F.col("event_type"))).alias("trigger")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "trigger", "n")
 
 
 def failure_runs(events: DataFrame, least: int = 3, failed: str = "error") -> DataFrame:

@@ -55,8 +55,9 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIGGERS = ", ".join(f"'{t}'" for t in trace.TRIGGERS)
-_TRIGGER = f"CASE WHEN event_type IN ({_TRIGGERS}) THEN event_type ELSE 'other' END"
-TRACE_SQL = f"""(SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, 'asset-' || (event_id % 12) AS asset_id, CASE WHEN value > 50 THEN 'rewrite' ELSE 'unspecified' END AS stage, {_TRIGGER} AS trigger, CASE WHEN event_type NOT IN ({_TRIGGERS}) THEN event_type END AS trigger_raw FROM events)"""
+_RAW = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in trace.OF_EVENTS.items()) + " ELSE event_type END"
+_TRIGGER = f"CASE WHEN {_RAW} IN ({_TRIGGERS}) THEN {_RAW} ELSE 'other' END"
+TRACE_SQL = f"""(SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, 'asset-' || (event_id % 12) AS asset_id, CASE WHEN value > 50 THEN 'rewrite' ELSE 'unspecified' END AS stage, {_TRIGGER} AS trigger, CASE WHEN {_RAW} NOT IN ({_TRIGGERS}) THEN {_RAW} END AS trigger_raw FROM events)"""
 _N = "(CAST(regexp_extract(%s, '^\\s*(\\d+)\\.(\\d+)\\.(\\d+)', 1) AS INT) * 1000000 + CAST(regexp_extract(%s, '^\\s*(\\d+)\\.(\\d+)\\.(\\d+)', 2) AS INT) * 1000 + CAST(regexp_extract(%s, '^\\s*(\\d+)\\.(\\d+)\\.(\\d+)', 3) AS INT))"
 
 
@@ -86,8 +87,8 @@ QUERIES = {
     "asset_health": lambda s, d: meta.health({"events": table(s, d, "events"), "rows": ROWS.frame(s), "none": ROWS.frame(s).limit(0), "gone": None}, {"events": "1.0.0"}),
     "marker_reachability": lambda s, d: meta.reachable(MARKERS[0].frame(s), MARKERS[1].frame(s)),
     "trace_seq": _trace, "trace_summary": lambda s, d: trace.summary(_trace(s, d)),
-    "trigger_normalize": lambda s, d: table(s, d, "events").groupBy("event_type", trace.trigger(F.col("event_type")).alias("trigger")).agg(F.count("*").alias("n")),
-    "trace_filter": lambda s, d: trace.filter_by(_trace(s, d), stage="rewrite", trigger="click").select("trace_id", "seq", "event_id"),
+    "trigger_normalize": lambda s, d: table(s, d, "events").groupBy("event_type", trace.trigger(trace.raw_trigger(F.col("event_type"))).alias("trigger")).agg(F.count("*").alias("n")),
+    "trace_filter": lambda s, d: trace.filter_by(_trace(s, d), stage="rewrite", trigger="lex_substitution_fired").select("trace_id", "seq", "event_id"),
     "trace_hourly": lambda s, d: trace.hourly(table(s, d, "events")).select(F.unix_timestamp("hour").alias("hour"), "trigger", "n"),
     "consecutive_failure_runs": lambda s, d: trace.failure_runs(table(s, d, "events")),
 }
@@ -108,7 +109,7 @@ ORACLE_SQL = {
     "trace_seq": f"SELECT * FROM {TRACE_SQL}",
     "trace_summary": f"SELECT 'total' AS facet, '' AS value, count(*) AS n FROM {TRACE_SQL} UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', {c}, count(*) FROM {TRACE_SQL} GROUP BY {c}" for c in ("asset_id", "stage", "trigger")),
     "trigger_normalize": f"SELECT event_type, {_TRIGGER} AS trigger, count(*) AS n FROM events GROUP BY 1, 2",
-    "trace_filter": f"SELECT trace_id, seq, event_id FROM {TRACE_SQL} WHERE stage = 'rewrite' AND trigger = 'click'",
+    "trace_filter": f"SELECT trace_id, seq, event_id FROM {TRACE_SQL} WHERE stage = 'rewrite' AND trigger = 'lex_substitution_fired'",
     "trace_hourly": f"SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, {_TRIGGER} AS trigger, count(*) AS n FROM events GROUP BY 1, 2",
     "consecutive_failure_runs": """SELECT user_id, arg_min(event_id, rn) AS run_start, count(*) AS run_length FROM (SELECT user_id, event_id, bad, rn, rn - row_number() OVER (PARTITION BY user_id, bad ORDER BY ts, event_id) AS island
 FROM (SELECT user_id, ts, event_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)) WHERE bad GROUP BY user_id, island HAVING count(*) >= 3""",

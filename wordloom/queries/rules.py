@@ -93,7 +93,7 @@ _RULES = {
     "causal_semicolon": (rules.causal_semicolon, "regexp_replace(text, '،( (?:لأن|لذلك|إذ) )', '؛\\1', 'g')"),
     "guillemets": (rules.guillemets, """regexp_replace(text, '"([^"]*)"', '«\\1»', 'g')"""),
 }
-_POLICY_SQL = ", ".join(f"('{r}', '{t}', {str(on).lower()})" for r, own in rules.POLICY.items() for t, on in own.items())
+_POLICY_SQL = ", ".join(f"('{r}', '{f}', {str(f in own).lower()})" for r, own in rules.POLICY.items() for f in rules.FLAGS)
 _PIECES = "regexp_split_to_array(text, '\\bthe\\b')"
 
 
@@ -113,6 +113,7 @@ QUERIES = {
     "typography_news": _lines(lambda c: rules.typography(c, "news")),
     "connector_replace_gated": gated, "quoted_bypass": quoted, "structural_openers": openers, "intensifier_destack": destack, "filler_insert": filled, "quote_verb_rotation": rotated,
     "anti_pattern_hits": hits, "respect_score": scored, "register_policy_matrix": lambda s, d: rules.policy(s),
+    "register_gate": lambda s, d: rules.gated_by(_docs(s, d).select("doc_id", F.element_at(F.array(*map(F.lit, rules.POLICY)), (F.col("doc_id") % 4 + 1).cast("int")).alias("register")), "calque_dictionary"),
     "phrase_alternatives": lambda s, d: rules.alternatives(ALTERNATIVES.frame(s), "in conclusion").select("input", F.col("choice").cast("long").alias("choice"), "alternative"),
     "source_tag_counts": lambda s, d: rules.source_tags(ALTERNATIVES.frame(s)),
     "rule_priority": lambda s, d: rules.longest_table(ALTERNATIVES.frame(s)).select("table_name", "input", "priority"),
@@ -129,7 +130,8 @@ ORACLE_SQL = {
     "filler_insert": f"SELECT doc_id, sent_no, f AS filled, md5(CASE WHEN f THEN ['indeed', 'in fact', 'well'][(doc_id + sent_no) % 3 + 1] || ' ' || sentence ELSE sentence END) AS md5 FROM (SELECT *, (doc_id * 31 + sent_no * 17 + 7) % 1000 < 80 AND length(sentence) > 40 AND sent_no > 0 AS f FROM {_SENT_SQL})",
     "anti_pattern_hits": f"SELECT doc_id, pattern_id, category, CAST(sum(hits) AS BIGINT) AS hits FROM {_HITS_SQL} WHERE hits > 0 GROUP BY 1, 2, 3",
     "respect_score": f"SELECT doc_id, hits, 15 - least(15, 2 * hits) AS score FROM (SELECT doc_id, CAST(sum(hits) AS BIGINT) AS hits FROM {_HITS_SQL} GROUP BY 1)",
-    "register_policy_matrix": f'SELECT register, transform, applies FROM (VALUES {_POLICY_SQL}) t(register, transform, applies)',
+    "register_policy_matrix": f'SELECT register, flag, enabled FROM (VALUES {_POLICY_SQL}) t(register, flag, enabled)',
+    "register_gate": "SELECT doc_id, register, register IN ('news', 'opinion') AS enabled FROM (SELECT doc_id, ['classical', 'news', 'opinion', 'technical'][doc_id % 4 + 1] AS register FROM documents)",
     "phrase_alternatives": f"SELECT input, CAST(i - 1 AS BIGINT) AS choice, alternatives[i] AS alternative FROM (SELECT input, alternatives, unnest(range(1, len(alternatives) + 1)) AS i FROM {ALTERNATIVES.sql()} WHERE input = 'in conclusion')",
     "source_tag_counts": f"SELECT table_name, coalesce(source_tag, 'v1_substrate') AS source_tag, count(*) AS n FROM {ALTERNATIVES.sql()} GROUP BY 1, 2",
     "rule_priority": f"SELECT table_name, input, row_number() OVER (PARTITION BY table_name ORDER BY length(input) DESC, ord) AS priority FROM {ALTERNATIVES.sql()}",
