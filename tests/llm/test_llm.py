@@ -192,6 +192,17 @@ def test_media_query(spark, texts):
         assert r.caption == f"text of {r.doc_id}" and r.media_sha256 == hashlib.sha256(media.encode_png(payload)).hexdigest()
 
 
+def test_hot_and_missing_payloads(spark):
+    docs = spark.createDataFrame([(i, "hot") for i in range(300)] + [(300, None), (301, "cold")], "doc_id long, text string")
+    ref = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    pages = [(i, f'<img src="{ref("hot")}" alt="a"><p>x</p><img src="{ref("hot")}" alt="b">') for i in range(300)] + [(300, f'<img src="{ref("")}">'), (301, f'<img src="{ref("cold")}"><img src="{ref("none")}"><img alt="no source">')]
+    got = media.resolve(media.sequences(spark.createDataFrame(pages, "page_id long, html string")), docs).collect()
+    by = collections.Counter((r.caption, r.digest, r.n_bytes) for r in got)
+    digest = lambda t: ref(t).removeprefix("sha256:")
+    assert by == {("a", digest("hot"), 3): 300, ("b", digest("hot"), 3): 300, ("", digest(""), 0): 1, ("", digest("cold"), 4): 1, ("", digest("none"), None): 1}
+    assert all(r.position == (0 if r.caption == "a" else 2) for r in got if r.caption)
+
+
 # WARC
 
 

@@ -4,8 +4,8 @@ An HTML document becomes a sequence of structs: a position, and a text or a refe
 payloads by digest; a join by digest brings the stored payload's features back to each reference, so positions and
 captions stay with what they belong to. A payload is stored once for all its references, as an 8-bit grey PNG image.
 
-What is joined by digest has one row for each payload, never one per copy; references to one hot payload are small rows,
-and skewed ones are split by Spark.
+What is joined by digest has one row for each payload, never one per copy. References are dealt out by digest and a salt;
+each such share asks for its payload once, so that a hot payload is sent to a bounded number of tasks and fills none.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_batches, table, texts
+from wordloom.llm.common import cut, map_batches, table, texts
 
 #: Samples in a row of an image; a payload is filled up with FILL to a positive multiple of it.
 WIDTH, FILL, LEVEL = 576, 255, 1
+#: Shares that the references to one payload are dealt into.
+SALTS = 64
 _SIGN = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<position:int,kind:string,text:string,ref:string>"
 
@@ -185,7 +187,10 @@ def resolve(parsed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     one = own.select(F.sha2("text", 256).alias("digest"), "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     known = features(store(own).join(one.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["digest"])
     items = parsed.select("doc_id", F.explode("items").alias("item")).filter("item.kind = 'media'")
-    return items.select("doc_id", "item.position", F.col("item.text").alias("caption"), F.substring_index("item.ref", ":", -1).alias("digest")).join(known, "digest", "left")
+    items = items.select("doc_id", "item.position", F.col("item.text").alias("caption"), F.substring_index("item.ref", ":", -1).alias("digest"))
+    items = cut(items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "position"), F.lit(SALTS))))  # pages are parsed once
+    answers = items.select("digest", "salt").distinct().join(known, "digest")
+    return items.join(answers, ["digest", "salt"], "left").drop("salt")
 
 
 def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
