@@ -101,6 +101,23 @@ def test_near_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(m[0] for m in want.values())
 
 
+def test_star_shaped_group(spark):
+    """Copies that are near to one original of largest id, but hardly ever to each other."""
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(1000)], []
+    for _ in range(60):
+        own = list(base)
+        for at in random.sample(range(83), 11):
+            own[at * 12 : at * 12 + 12] = [word() for _ in range(12)]
+        texts.append(own)
+    texts.append(base)
+    links = [(i, j) for i in range(61) for j in range(i) if near_dups.similarity(texts[i], texts[j], 0.8) is not None]
+    assert all((60, j) in links for j in range(60)) and len(links) < 120  # one class, by the original
+    got = near_dups.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.class_id for r in got.collect()} == {0}
+
+
 def test_order_counts():
     import pyarrow as pa
 
