@@ -154,6 +154,15 @@ def test_licenses(spark):
         assert 0 <= r.score <= 1 and all(s.edits <= 12 and s.start < s.end for s in r.spans)
 
 
+def test_edited_notice_before_an_exact_one():
+    notice = "redistribution and use in source and binary forms with or without modification"
+    edited = notice.replace("source", "sxurce").replace("binary", "bxnary")
+    found = licenses.Scanner({notice: "bsd"}, licenses.PER_EDIT).find(f"{edited} {notice} {edited}")
+    n = len(notice)
+    assert [f[3] for f in found] == [2, 0, 2]
+    assert [abs(f[1] - at) <= 2 for f, at in zip(found, (0, n + 1, 2 * n + 2), strict=True)] == [True] * 3
+
+
 # packing
 
 

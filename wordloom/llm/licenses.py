@@ -88,10 +88,12 @@ class Scanner:
         found = []
         for number, own in windows.items():
             notice = self.notices[number]
-            for start, end in own:
-                while match := notice.pattern.search(text, start, end):
+            while own:
+                start, end = own.pop()
+                if match := notice.pattern.search(text, start, end):
                     found.append((notice.label, match.start(), match.end(), sum(match.fuzzy_counts), len(notice.text)))
-                    start = match.end()
+                    # the best place of the window is not the first: others may lie on either side
+                    own += [s for s in ([start, match.start()], [match.end(), min(end, len(text))]) if s[1] - s[0] >= len(notice.text) - notice.edits]
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
