@@ -293,6 +293,14 @@ def test_pii(spark, texts):
         assert r.base == _base_spans(made[r.doc_id])
 
 
+def test_iban_before_and_among_other_groups(spark):
+    iban, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = [(0, f"{iban} BIC COBADEFF"), (1, f"{iban} 2024"), (2, f"AB12 {iban} {other} X"), (3, "DE89 3704 0044 0532 0130 01 BIC"), (4, f"é {iban}, {iban}")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in found}
+    assert got == {0: [iban], 1: [iban], 2: [iban, other], 3: [], 4: [iban, iban]}
+
+
 def test_pii_methods(spark):
     rows = [(0, "IBAN DE89370400440532013000."), (1, "DE88370400440532013000"), (2, "my ssn 123-45-6789"), (3, "123-45-6789"), (4, "mail a@b.co or 1.2.3.4")]
     got = {r.doc_id: (r.kinds, r.clean) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("spans", lambda x: x["kind"]).alias("kinds"), pii.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}

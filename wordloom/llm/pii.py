@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import carried, table, texts
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
+#: An iban's pattern takes its first four characters alone, so that one candidate does not swallow the next, and looks ahead for the longest rest.
+HEAD = 4
 #: Kind, pattern, what a text must contain, base score, context words. The first four are the base kinds.
 KINDS = (
     ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write"),
     ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|karte|carte|tarjeta"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.8, "iban|account|bank|konto"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", None, 0.8, "iban|account|bank|konto"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, "ssn|social security|security number"),
     ("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", None, 0.4, "token|key|secret|password|passwd|auth"),
 )
@@ -33,6 +35,20 @@ NEARBY, RAISE, ACCEPTED = 40, 0.3, 0.6
 _IP = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 
+def _iban(value: Column) -> Column:
+    """The longest start of a candidate that ends with one of its groups, is long enough and has the right remainder; else null."""
+    groups = F.split(value, r"\x20")
+    starts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.get(F.filter(starts, lambda v: (F.length(F.regexp_replace(v, r"\x20", "")) >= HEAD + 11) & _mod97(v)), F.lit(0))
+
+
+def _apart(found: Column) -> Column:
+    """Without what begins inside the one kept before it."""
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,value:string>>")
+    step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct((x["start"] + F.length(x["value"])).alias("at"), F.array_append(acc["found"], x).alias("found")))
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -52,7 +68,7 @@ def _confirmed(kind: str, value: Column) -> Column:
         "ip": lambda: value.rlike(_IP),
         "card": lambda: digits.between(12, 19) & F.call_function("luhn_check", _digits(value)),
         "phone": lambda: digits.between(9, 15),
-        "iban": lambda: _mod97(value),
+        "iban": lambda: value.isNotNull(),
     }.get(kind, lambda: F.lit(True))()
 
 
@@ -64,11 +80,12 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def _placed(zipped: Column) -> Column:
+def _placed(zipped: Column, kind: str) -> Column:
     """(text before, match) pairs -> structs of start and value."""
+    taken = lambda x: F.lit(HEAD) if kind == "iban" else F.length(x["value"])
     none = F.from_json(F.lit("[]"), "array<struct<start:int,value:string>>")
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["before"]) + F.length(x["value"])).alias("at"),
+        (acc["at"] + F.length(x["before"]) + taken(x)).alias("at"),
         F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["before"])).alias("start"), x["value"].alias("value"))).alias("found"),
     )
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
@@ -82,9 +99,12 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tup
     """
     own = texts(docs, doc_id, text, carry)
     matches = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p, *_ in KINDS}
+    whole = F.zip_with(matches["iban"], F.regexp_extract_all("text", F.lit(dict(k[:2] for k in KINDS)["iban"]), F.lit(1)), lambda head, rest: F.concat(head, rest))
+    matches["iban"] = F.transform(whole, _iban)
     own = own.withColumns({f"m_{k}": F.when(F.contains("text", F.lit(need)), matches[k]) if need else matches[k] for k, _, need, *_ in KINDS})
     own = own.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.arrays_zip(F.slice(F.split("text", p, -1), 1, F.size(f"m_{k}")).alias("before"), F.col(f"m_{k}").alias("value"))) for k, p, *_ in KINDS})
-    own = own.withColumns({f"s_{k}": F.when(F.col(f"p_{k}").isNotNull(), F.filter(_placed(F.col(f"p_{k}")), _test(k))) for k, *_ in KINDS})
+    own = own.withColumns({f"s_{k}": F.when(F.col(f"p_{k}").isNotNull(), F.filter(_placed(F.col(f"p_{k}"), k), _test(k))) for k, *_ in KINDS})
+    own = own.withColumn("s_iban", F.when(F.size("s_iban") > 0, _apart(F.col("s_iban"))))
 
     def scored(order: int, kind: str, least: float, words: str) -> Column:
         near = lambda x: F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] + 1 - NEARBY), F.least(F.lit(NEARBY), x["start"])))
