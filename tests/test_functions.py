@@ -78,6 +78,15 @@ def test_whole_phrase(spark):
     assert got == {(0, "café"), (1, "C++"), (2, "the and")}
 
 
+def test_long_phrases_join(spark):
+    nine = "a b c d e f g h i"
+    docs = spark.createDataFrame([(1, f"x {nine}. y")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(nine,), ("c d",), (None,)], "phrase string")
+    assert {r.phrase for r in matching.phrase_join(docs, phrases).collect()} == {nine, "c d"}
+    with pytest.raises(Exception, match="more than 3 words"):
+        matching.phrase_join(docs, phrases, longest=3).collect()
+
+
 def test_substitution_is_leftmost_longest(spark):
     swaps = {"a": "1", "ab": "2", "abc": "3", "c": ""}
     for t in ("abcab", "xacabx", "", "ccc", "zz"):

@@ -106,11 +106,17 @@ def phrase_hits(docs: DataFrame, phrases: list[str], column: str = "text", doc_i
     return lowered.select(doc_id, F.explode(F.filter(tests, lambda x: x["hit"])).alias("x")).select(doc_id, "x.pair_no", "x.phrase")
 
 
-def phrase_join(docs: DataFrame, phrases: DataFrame, column: str = "text", doc_id: str = "doc_id", phrase: str = "phrase", longest: int = 8) -> DataFrame:
-    """phrase_hits() for any number of phrases made of words: n-grams of words joined on equality. doc_id, phrase."""
+def phrase_join(docs: DataFrame, phrases: DataFrame, column: str = "text", doc_id: str = "doc_id", phrase: str = "phrase", longest: int | None = None) -> DataFrame:
+    """phrase_hits() for any number of phrases made of words: n-grams of words joined on equality. doc_id, phrase.
+
+    n-grams have up to `longest` words, by default as many as the longest phrase; a phrase of more is an error.
+    """
+    n_words = F.size(F.filter(F.split(F.lower(phrase), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    longest = longest or max(1, phrases.agg(F.max(n_words)).first()[0] or 1)
+    named = F.when(n_words > longest, F.raise_error(F.concat(F.lit(f"phrase of more than {longest} words: "), phrase))).otherwise(F.col(phrase))
     words = docs.select(doc_id, F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("words"))
     grams = words.select(doc_id, F.explode(text.ngrams(F.col("words"), tuple(range(1, longest + 1)))).alias("g")).select(doc_id, F.col("g.term").alias("gram"))
-    return grams.join(phrases.select(F.col(phrase).alias("phrase")).distinct(), F.col("gram") == F.lower("phrase")).select(doc_id, "phrase").distinct()
+    return grams.join(phrases.select(named.alias("phrase")).distinct(), F.col("gram") == F.lower("phrase")).select(doc_id, "phrase").distinct()
 
 
 def substitute(column: Column, table: dict[str, str]) -> Column:
