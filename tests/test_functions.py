@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom.functions import arabic, text
-from wordloom.operators import matching, rules, terms
+from wordloom.operators import matching, mining, rules, terms
 
 
 def _one(spark, column, value):
@@ -87,6 +87,13 @@ def test_long_phrases_join(spark):
         matching.phrase_join(docs, phrases, longest=3).collect()
 
 
+def test_contexts_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, "before term after") for i in (5000, 300, 7, 9000)], "doc_id long, text string")
+    terms_ = spark.createDataFrame([("term",)], "term string")
+    assert sorted(r.doc_id for r in mining.contexts(docs, terms_).collect()) == [7, 300, 5000]
+    assert [r.doc_id for r in mining.contexts(docs, terms_, first_docs=200).collect()] == [7]
+
+
 def test_substitution_is_leftmost_longest(spark):
     swaps = {"a": "1", "ab": "2", "abc": "3", "c": ""}
     for t in ("abcab", "xacabx", "", "ccc", "zz"):

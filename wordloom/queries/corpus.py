@@ -134,7 +134,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample contexts of the 50 best terms, from the first 200 documents."""
     docs = ar_documents(spark, sf_dir)
     best = mining.top_candidates(mining.frequencies(mining.occurrences(docs)), TOP, LEAST).filter("rank <= 50")
-    return mining.contexts(docs, best)
+    return mining.contexts(docs, best, first_docs=200)
 
 
 def size_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
