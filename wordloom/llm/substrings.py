@@ -3,8 +3,8 @@
 A window of `k` consecutive words is an edge from its first k - 1 words to its last k - 1. Edges that occur in two
 documents or more are kept, each with its source: the least document that has it, and the place there. In a source
 document neighbouring edges make a segment; segments that follow each other without a branch are compacted to paths by
-joins (`paths`). In any other document a run of edges whose source places also run on by one is a repeated span: the
-source coordinates verify that it is one passage, not edges met by chance.
+joins (`paths`). In any other document a run of edges whose source places also run on by one is listed as a
+repeated span. What is removed follows from the lookup of edges alone; spans and paths only report it.
 
 How rows travel. Documents are dealt into blocks by a hash of their id. A block asks, for each range of hash values, about
 its own distinct hashes only (so a passage that millions of documents share is one entry per block) and is told what it
