@@ -118,6 +118,59 @@ def test_star_shaped_group(spark):
     assert {r.class_id for r in got.collect()} == {0}
 
 
+def test_classes_are_of_texts(spark):
+    """Unlike texts are kept, whatever ids they share with copies; repeated rows and copies without an id go."""
+    near = " ".join(f"w{i}" for i in range(60))
+    copy, other, third = near.replace("w30 ", "x "), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, near), (7, copy), (7, other), (7, other), (None, copy), (None, third), (None, near), (9, None), (10, "")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, own_0 int, kept string")
+    kept = near_dups.keep(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, near), (7, other), (0, third), (9, "")])
+    got = collections.Counter((r.doc_id, r.class_id, r.copies, r.kept) for r in near_dups.classes(df).collect())
+    assert got == {(1, 1, 2, True): 1, (7, 1, 2, False): 1, (7, 7, 2, True): 2, (None, 1, 2, False): 2, (None, None, 1, True): 1, (9, 9, 2, True): 1, (10, 9, 2, False): 1}
+
+
+def test_recall_against_all_pairs(spark):
+    """Of all pairs of different texts that brute force finds at 0.8 or more, at least 0.95 are in one class, and no class is larger than brute force has it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+    words = sorted(((t.split(), i) for t, i in first.items()), key=lambda x: len(x[0]))
+    bags, links = [collections.Counter(w) for w, _ in words], []
+    for j, (b, y) in enumerate(words):
+        for i in range(j - 1, -1, -1):
+            a, x = words[i]
+            if len(a) < 0.8 * len(b):
+                break
+            if len(a) >= 5 and (bags[i] & bags[j]).total() >= 0.8 * len(b) and near_dups.similarity(a, b, 0.8) is not None:
+                links.append((x, y))
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert len(links) > 50 and sum(got[x] == got[y] for x, y in links) >= 0.95 * len(links)
+    root = {i: i for i in got}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in links:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    assert all(find(i) == find(got[i]) for _, i in words)
+
+
+def test_order_counts_beyond_a_hub():
+    import pyarrow as pa
+
+    kmers = lambda t: near_dups._kmers(near_dups.kernel.words(pa.array([t])), 1)[0]
+    words = [f"w{i}" for i in range(60)]
+    own, turned, hub = kmers(" ".join(words)), kmers(" ".join(words[30:] + words[:30])), kmers("w1 w2 other")
+    assert near_dups.sketch_beyond(own, hub) == near_dups.sketch_beyond(kmers("other " + " ".join(words)), hub)
+    assert near_dups.sketch_beyond(own, hub) != near_dups.sketch_beyond(turned, hub)
+    assert near_dups.sketch_beyond(hub, hub) == [] and len(near_dups.sketch_beyond(kmers("w1 new"), hub)) == near_dups.REFINED
+
+
 def test_order_counts():
     import pyarrow as pa
 

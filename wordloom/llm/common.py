@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,14 +30,54 @@ def carried(carry: tuple[str, ...]) -> list:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's own setting, or a temporary one where none is set (tests)."""
+    """The shared folder for checkpoints, from the session's own setting.
+
+    Where none is set, a local master (tests, one machine) gets a temporary one; on a cluster that would be a folder of
+    one machine, so it is an error.
+    """
     context = spark.sparkContext
     if not (where := context.getCheckpointDir()):
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wordloom-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = tempfile.mkdtemp(prefix="wordloom-")
         context.setCheckpointDir(where)
     return where
 
 
+class Scratch:
+    """Tables of one job, written to the shared checkpoint folder: lineage ends there, and drop() frees the room.
+
+    A query that writes a table also gives up its shuffle files when it is done, as nothing reads them again.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, self.number = f"{self.folder}/{self.number:04d}", self.number + 1
+        before = self.spark.conf.get(self._CLEAN, None)
+        self.spark.conf.set(self._CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(self._CLEAN) if before is None else self.spark.conf.set(self._CLEAN, before)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that put() gave; what is computed from them must have been written before."""
+        context = self.spark.sparkContext
+        for made in tables:
+            where = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(made))[1])
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there: later stages do not compute them again."""
     checkpoint_dir(df.sparkSession)
