@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wordloom.llm import byte_bpe, licenses, media, merge_automaton, near_dups, packing, pii, quality, substrings, token_counts, warc
+from wordloom.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -476,19 +477,47 @@ def test_substrings(spark):
     words, by_id = {d: WORD.findall(t or "") for d, t in rows}, {r.doc_id: r for r in found}
     for r in found:
         for s in r.spans:
-            assert words[r.doc_id][s.start : s.start + s.length] == words[s.source][s.source_start : s.source_start + s.length]
+            assert s.length >= 13 and words[r.doc_id][s.start : s.start + 13] == words[s.source][s.source_start : s.source_start + 13]
     for r in substrings.deduplicate(df, form="cut").collect():
         assert WORD.findall(r.kept) == by_id[r.doc_id].kept.split()
 
 
+def test_edges_of_one_hash_and_other_words(spark):
+    """With a hash of a few bits unlike windows collide; coordinates tell them apart, and the result is the same."""
+    rows = _passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = df.select(F.pmod("doc_id", F.lit(3)).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert substrings.unverified(substrings.placed(blocks, Scratch(spark), 13, 5)).count() == 0
+    assert substrings.unverified(substrings.placed(blocks, Scratch(spark), 13, 5, 0, 6)).count() > 0
+    found = substrings.deduplicate(df, bits=6).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == sorted(_removed(rows))
+
+
+def test_rows_of_one_id(spark):
+    passage, more = [f"p{i}" for i in range(30)], [f"q{i}" for i in range(30)]
+    rows = [(1, " ".join(passage)), (1, " ".join(more)), (2, " ".join(["x"] * 3 + passage + more)), (None, " ".join(more)), (1, " ".join(more))]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got) == sorted([(1, 30, rows[0][1]), (1, 30, rows[1][1]), (1, 30, rows[1][1]), (2, 63, "x x x"), (0, 30, "")])
+
+
 def test_paths(spark):
     a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(20)]
     rows = [(0, " ".join(a[:30])), (1, " ".join(a[10:])), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join(b)), (5, " ".join(f"c{i}" for i in range(30)))]
-    made = substrings.paths(substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
-    by_path = collections.defaultdict(int)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.placed(df.selectExpr("doc_id % 2 AS block", "doc_id", "text"), Scratch(spark), 13, 5)
+    made = substrings.compact(found.filter("kind = 'segment'").select("source", "start", "length", "first", "last"), Scratch(spark)).collect()
+    by_path = collections.defaultdict(list)
     for r in made:
-        by_path[r.path_id] += r.length
-    assert sorted(by_path.values()) == [8, 28]  # 40 and 20 words have so many windows
+        by_path[r.path].append((r.offset, r.length))
+    assert sorted(map(sorted, by_path.values())) == [[(0, 8)], [(0, 18), (18, 10)]]  # 40 and 20 words have so many windows
+    spans = {r.doc_id: [(s.start, s.length, s.source, s.path_start) for s in r.spans] for r in substrings.deduplicate(df).collect()}
+    assert spans == {0: [], 1: [(0, 20, 0, 10)], 2: [(0, 40, 0, 0)], 3: [], 4: [(0, 20, 3, 0)], 5: []}
+
+
+def test_circles_end(spark):
+    rows = [(i, " ".join(["a", "b"] * 20)) for i in range(3)] + [(9, " ".join(["b", "a"] * 30))]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(_removed(rows))
 
 
 def test_pipeline(spark, tmp_path):

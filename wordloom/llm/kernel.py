@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(n, 1024), _BASES[base], np.uint64)
+        known = np.full(max(n, 1024), base, np.uint64)
         known[0] = 1
         known = _powers[base] = np.multiply.accumulate(known)
     return known
@@ -44,14 +44,14 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
 
-    def hashes(self, base: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, from one of two independent bases."""
+    def hashes(self, base: int = 0, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, from one of two independent bases, or others by salt."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         lengths = self.end - self.start
         inside = np.repeat(self.start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         place = inside - np.repeat(self.start, lengths)
-        value = (self.data[inside].astype(np.uint64) + np.uint64(1)) * _power(base, int(lengths.max()))[place]
+        value = (self.data[inside].astype(np.uint64) + np.uint64(1)) * _power(int(_BASES[base]) ^ salt << 8, int(lengths.max()))[place]
         return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
     def per_doc(self, of_words: np.ndarray) -> np.ndarray:
