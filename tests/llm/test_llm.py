@@ -283,6 +283,18 @@ def test_hot_and_missing_payloads(spark):
     assert all(r.position == (0 if r.caption == "a" else 2) for r in got if r.caption)
 
 
+def test_payloads_without_ids_and_whole_sequences(spark):
+    ref = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    docs = spark.createDataFrame([(None, "no id"), (None, "no id"), (None, "other"), (1, "no id"), (1, "mine")], "doc_id long, text string")
+    pages = spark.createDataFrame([(5, f'<p>before</p><img src="{ref("other")}" alt="o"><p>after</p><img src="{ref("mine")}" alt="m"><img src="{ref("no id")}">'), (6, None)], "page_id long, html string")
+    parsed = media.sequences(pages)
+    resolved = media.resolve(parsed, docs)
+    assert sorted((r.position, r.n_bytes) for r in resolved.collect()) == [(1, 5), (3, 4), (4, 5)]
+    whole = {r.doc_id: [(x.position, x.kind, x.text, x.digest) for x in r["items"]] for r in media.rejoin(parsed, resolved).collect()}
+    digest = lambda t: ref(t).removeprefix("sha256:")
+    assert whole == {5: [(0, "text", "before", None), (1, "media", "o", digest("other")), (2, "text", "after", None), (3, "media", "m", digest("mine")), (4, "media", "", digest("no id"))], 6: []}
+
+
 # WARC
 
 
@@ -310,6 +322,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(pages.limit(0), str(tmp_path / "b")).count() == 0
 
 
+def test_warc_roles_by_page_and_payload(spark, tmp_path):
+    rows = [(7, "u", "A only"), (7, "u", "dup"), (9, "u", "dup"), (None, "u", "dup"), (9, "u", "dup"), (None, "n", "alone")]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = collections.Counter((r.record_id, r.record_type, r.refers_to, bytes(r.payload or b"").decode()) for r in warc.read(archives, str(tmp_path / "a")).collect())
+    revisit = lambda page: (f"urn:page:{page}", "revisit", "urn:page:9", "")
+    assert got == {("urn:page:7", "response", None, "A only"): 1, revisit(7): 1, ("urn:page:9", "response", None, "dup"): 2, revisit(None): 1, ("urn:page:None", "response", None, "alone"): 1}
+
+
 def test_warc_damage():
     good = warc.record("response", "u", "urn:page:1", b"abc", "2020-01-01T00:00:00Z")
     member = next(warc.members(iter([good])))

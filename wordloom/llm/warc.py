@@ -95,15 +95,18 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Write a record for each row (a null html is empty, a null url urn:page:<id>) and return the archives' path and number of records.
 
     Of records with equal payloads of at least `least` bytes that with the largest page_id is the response, the others
-    revisit it. A repeated page_id is written again each time. An empty table makes no archives. The largest page of a
-    payload is found from digests alone; the pages themselves are dealt out by page_id, so no payload is hot.
+    revisit it. Roles go by page_id and payload, so rows that share an id but not a payload have roles of their own; a
+    repeated row is written again each time, in its one role. A null page_id counts as the smallest. An empty table makes
+    no archives; a payload of any length is one record. The largest page of a payload is found from digests alone; the
+    pages themselves are dealt out by page_id and digest, so no payload is hot.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    keyed = own.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes")).filter(F.col("bytes") >= least)
-    leader = keyed.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    roles = keyed.join(leader, "digest").select("page_id", "response").distinct()
-    dealt = own.join(roles.hint("shuffle_hash"), "page_id", "left")
+    own = own.withColumns({"digest": F.unhex(F.sha2("html", 256)), "key": F.coalesce("page_id", F.lit(-(1 << 63)))})
+    keyed = own.filter(F.octet_length("html") >= least).select("key", "digest").groupBy("key", "digest").agg(F.count("*").alias("n"))
+    leader = keyed.groupBy("digest").agg(F.max("key").alias("response"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    roles = keyed.drop("n").join(leader, "digest")
+    dealt = own.join(roles.hint("shuffle_hash"), ["key", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _store(folder)
