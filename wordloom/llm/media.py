@@ -2,10 +2,11 @@
 
 An HTML document becomes a sequence of structs: a position, and a text or a reference with its caption. References name
 payloads by digest; a join by digest brings the stored payload's features back to each reference, so positions and
-captions stay with what they belong to. A payload is stored once for all its references, as an 8-bit grey PNG image.
+captions stay with what they belong to. A payload is stored as an 8-bit grey PNG image.
 
-What is joined by digest has one row for each payload, never one per copy. References are dealt out by digest and a salt;
-each such share asks for its payload once, so that a hot payload is sent to a bounded number of tasks and fills none.
+What is joined by digest has one row for each payload, never one per copy, and payloads themselves stay where they are:
+only what was read from them travels. References are dealt out by digest and a salt; each such share asks for its payload
+once, so that a hot payload is sent to a bounded number of tasks and fills none.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def interleaved(html: str) -> list[tuple[int, str, str, str | None]]:
 
 
 def sequences(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """doc_id and items (an array of structs in order). A null or empty page has no items."""
+    """doc_id and items (an array of structs in order): one for each row. A null or empty page has no items; pages of any length are parsed whole."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,11 +182,11 @@ def features(stored: DataFrame) -> DataFrame:
 def resolve(parsed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per media item of parsed documents (doc_id, items), with its caption and its payload's features (null if no payload has the digest).
 
-    docs: the texts that the payloads are made of; of equal ones that with the least doc_id is stored for all.
+    docs: the texts that the payloads are made of (null: empty), with or without an id. Each is stored and read back where
+    its row lies, so no payload is shuffled; of equal ones the features go on once, map-side first. Rows of parsed without
+    items give none, and so do empty tables; items that are repeated are resolved each. A payload of any length is one image.
     """
-    own = texts(docs, doc_id, text)
-    one = own.select(F.sha2("text", 256).alias("digest"), "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    known = features(store(own).join(one.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["digest"])
+    known = features(store(docs, doc_id, text)).dropDuplicates(["digest"])
     items = parsed.select("doc_id", F.explode("items").alias("item")).filter("item.kind = 'media'")
     items = items.select("doc_id", "item.position", F.col("item.text").alias("caption"), F.substring_index("item.ref", ":", -1).alias("digest"))
     items = cut(items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "position"), F.lit(SALTS))))  # pages are parsed once
@@ -193,6 +194,17 @@ def resolve(parsed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     return items.join(answers, ["digest", "salt"], "left").drop("salt")
 
 
+def rejoin(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Whole sequences again: doc_id and items in order, each with its payload's digest, size and feature (null for texts and unknown references).
+
+    Both by the same documents, one row for each doc_id. A document without items stays, with none.
+    """
+    fields = ("digest", "payload_sha256", "media_bytes", "feature")
+    known = resolved.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("position", F.struct(*fields)))).alias("media"))
+    item = lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), x["text"].alias("text"), *[F.try_element_at("media", x["position"])[f].alias(f) for f in fields])
+    return parsed.join(known, "doc_id", "left").select("doc_id", F.transform("items", item).alias("items"))
+
+
 def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's payload, reached through a page that refers to it by digest."""
     docs = texts(table(spark, sf_dir, "documents"))
