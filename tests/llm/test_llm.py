@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -375,6 +376,17 @@ def test_iban_before_and_among_other_groups(spark):
     assert got == {0: [iban], 1: [iban], 2: [iban, other], 3: [], 4: [iban, iban]}
 
 
+def test_many_spans_in_long_texts(spark):
+    """As many matches as there are words, over many chunks, in a time that grows with the text."""
+    rows = [(0, "12 " * 300_000), (1, "é a@b.co,1.2.3.4 " * 20_000), (2, "+1 555 123 4567;" * 5_000)]
+    began = time.time()
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii._listed(F.filter("spans", lambda x: x["base"])).alias("base"), pii.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert time.time() - began < 90
+    for r in found:
+        assert r.base == _base_spans(rows[r.doc_id][1])
+    assert {r.doc_id: r.clean for r in found} == {0: rows[0][1], 1: "é [EMAIL],[IP] " * 20_000, 2: "[PHONE];" * 5_000}
+
+
 def test_pii_methods(spark):
     rows = [(0, "IBAN DE89370400440532013000."), (1, "DE88370400440532013000"), (2, "my ssn 123-45-6789"), (3, "123-45-6789"), (4, "mail a@b.co or 1.2.3.4")]
     got = {r.doc_id: (r.kinds, r.clean) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("spans", lambda x: x["kind"]).alias("kinds"), pii.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}

@@ -4,7 +4,8 @@ Regular expressions propose spans, checksums (Luhn, mod 97) and digit counts con
 span raise its score; kinds without a checksum of their own need the context. Spans count code points, the end exclusive.
 
 Patterns are anchored so that a long run of letters or digits is read once, not from each of its characters, and loops
-over groups are possessive, so that they neither backtrack nor recurse.
+over groups are possessive, so that they neither backtrack nor recurse. Lists are built in pieces and texts are cut from
+chunks, so that the work is in proportion to a text's length however many spans it has.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ KINDS = (
 BASE = tuple(k[0] for k in KINDS[:4])
 #: Code points before a span in which context words count; what they add; the least score of a span that isn't base.
 NEARBY, RAISE, ACCEPTED = 40, 0.3, 0.6
+#: Entries of a list that are copied for each one appended; code points of a chunk of text.
+_FEW, _CHUNK = 128, 4096
 _IP = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 
@@ -42,11 +45,54 @@ def _iban(value: Column) -> Column:
     return F.get(F.filter(starts, lambda v: (F.length(F.regexp_replace(v, r"\x20", "")) >= HEAD + 11) & _mod97(v)), F.lit(0))
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), the value made once, though a function in `of` may use it for each entry of an array."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _running(items: Column, weight: Callable[[Column], Column], join: Callable[[Column, Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """An array with made(at, x) for each item x, nothing where that is null; at: the weights of all items before it, joined (from 0).
+
+    An aggregate copies its state in each step, so lists are made in short pieces. join must be associative.
+    """
+    none = F.from_json(F.lit("[]"), f"array<{kind}>")
+    joined = lambda weights: F.aggregate(weights, F.lit(0), lambda at, w: join(at, w).cast("int"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], weight(x)).cast("int").alias("at"), F.array_append(acc["found"], made(acc["at"], x)).alias("found"))
+
+    def piece(xs: Column, at: Column) -> Column:
+        return F.aggregate(xs, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: F.filter(acc["found"], lambda x: x.isNotNull()))
+
+    cuts = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FEW).cast("int")), lambda i: F.slice(xs, i * _FEW + 1, F.lit(_FEW)))
+    after = lambda pieces: F.transform(pieces, lambda xs: joined(F.transform(xs, weight)))
+    whole = lambda pieces: _let(after(pieces), lambda ends: F.flatten(F.transform(pieces, lambda xs, i: piece(xs, joined(F.slice(ends, F.lit(1), i))))))
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, _let(cuts(xs), whole)).otherwise(none))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _apart(found: Column) -> Column:
     """Without what begins inside the one kept before it."""
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,value:string>>")
-    step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct((x["start"] + F.length(x["value"])).alias("at"), F.array_append(acc["found"], x).alias("found")))
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    keeps = lambda acc, x: x["start"] >= acc["at"]
+    step = lambda acc, x: F.struct(F.when(keeps(acc, x), x["start"] + F.length(x["value"])).otherwise(acc["at"]).alias("at"), F.concat(acc["kept"], F.when(keeps(acc, x), "1").otherwise("0")).alias("kept"))
+    kept = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")), step, lambda acc: F.split(acc["kept"], ""))
+    return _let(kept, lambda flags: F.filter(found, lambda _, i: F.get(flags, i) == "1"))
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of _CHUNK code points."""
+    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / _CHUNK).cast("int")
+    return F.when(last == 0, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * _CHUNK + 1, F.lit(_CHUNK))))
+
+
+def _part(chunks: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` (from 0), without reading all that stands before them."""
+    first = F.floor(start / _CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, F.floor((start + length) / _CHUNK).cast("int") - first + 1), "")
+    return F.substring(near, start - first * _CHUNK + 1, length)
 
 
 def _digits(value: Column) -> Column:
@@ -83,21 +129,18 @@ def _is(kind: str) -> Callable[[Column], Column]:
 def _placed(zipped: Column, kind: str) -> Column:
     """(text before, match) pairs -> structs of start and value."""
     taken = lambda x: F.lit(HEAD) if kind == "iban" else F.length(x["value"])
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,value:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["before"]) + taken(x)).alias("at"),
-        F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["before"])).alias("start"), x["value"].alias("value"))).alias("found"),
-    )
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    weight = lambda x: F.length(x["before"]) + taken(x)
+    return _running(zipped, weight, _plus, lambda at, x: F.struct((at + F.length(x["before"])).alias("start"), x["value"].alias("value")), "struct<start:int,value:string>")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and spans: an array of structs of start, order (of the kind), end, kind, score, base; by start, then kind;
     and the columns of docs to carry.
 
-    A null or empty text has no spans. Each row of docs gives one row; spans of different kinds may overlap.
+    A null or empty text has no spans, a text of any length is read whole. Each row of docs gives one row, repeated ones
+    too, and a table without rows none; spans of different kinds may overlap.
     """
-    own = texts(docs, doc_id, text, carry)
+    own = texts(docs, doc_id, text, carry).withColumn("chunks", _chunks(F.col("text")))
     matches = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p, *_ in KINDS}
     whole = F.zip_with(matches["iban"], F.regexp_extract_all("text", F.lit(dict(k[:2] for k in KINDS)["iban"]), F.lit(1)), lambda head, rest: F.concat(head, rest))
     matches["iban"] = F.transform(whole, _iban)
@@ -107,7 +150,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tup
     own = own.withColumn("s_iban", F.when(F.size("s_iban") > 0, _apart(F.col("s_iban"))))
 
     def scored(order: int, kind: str, least: float, words: str) -> Column:
-        near = lambda x: F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] + 1 - NEARBY), F.least(F.lit(NEARBY), x["start"])))
+        near = lambda x: F.lower(_part(F.col("chunks"), F.greatest(F.lit(0), x["start"] - NEARBY), F.least(F.lit(NEARBY), x["start"])))
         made = F.transform(
             F.col(f"s_{kind}"),
             lambda x: F.struct(
@@ -123,12 +166,14 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tup
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span's kind in brackets in its place; overlapping spans go as one, under the first one's kind."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).alias("parts"),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
+    label = lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
+
+    def clean(chunks: Column) -> Column:
+        made = lambda at, x: F.when(x["start"] >= at, F.concat(_part(chunks, at, x["start"] - at), label(x)))
+        parts = _running(spans, lambda x: x["end"], F.greatest, made, "string")
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_chunks(text), clean))
 
 
 def _listed(spans: Column) -> Column:
