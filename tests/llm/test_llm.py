@@ -218,6 +218,30 @@ def test_edited_notice_before_an_exact_one():
     assert [abs(f[1] - at) <= 2 for f, at in zip(found, (0, n + 1, 2 * n + 2), strict=True)] == [True] * 3
 
 
+def test_all_notices_of_a_text(spark):
+    """Each of many notices is one span, edited or not, close to each other or far, and the time grows with the text."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("qxz") for _ in range(4))
+    rows, want = [("released under the mit licence foo released under the mit license",), ("all rights reservd all rights reserved",)], [2, 2]
+    for n in (1, 5, 40, 400):
+        for filler in (0, 1, 9):
+            parts = []
+            for _ in range(n):
+                notice = list("redistribution and use in source and binary forms with or without modification")
+                for at in random.sample(range(20, 60), random.randrange(5)):
+                    notice[at] = "x" if notice[at] != " " else " "
+                parts += ["".join(notice), *[word() for _ in range(filler)]]
+            rows.append((" ".join(parts),))
+            want.append(n)
+    rows, want = [*rows, ("Released under the MIT License, " * 30_000,)], [*want, 30_000]
+    began = time.time()
+    got = licenses.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string")).select("doc_id", "n_words", "last_word", F.size("spans").alias("n"), "spans").collect()
+    assert time.time() - began < 90
+    assert [r.n for r in sorted(got, key=lambda r: r.doc_id)] == want
+    last = max(got, key=lambda r: r.doc_id)
+    assert all(rows[-1][0][s.start : s.end] == "Released under the MIT License" for s in last.spans) and last.last_word == 5 * 30_000 - 2
+
+
 # packing
 
 
