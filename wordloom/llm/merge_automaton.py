@@ -1,14 +1,19 @@
-"""BPE as a deterministic automaton over tokens, built merge by merge.
-
-States stand for the token read last. Before any merge, every base symbol leads on to every other. The gadget of a merge
-(u, v) -> uv then does two things to the automaton so far: wherever an arc u is followed by an arc v it lays an arc uv
-from the first place to the last, and it bars v from the place that u now leads to. A path spells a word in exactly one
-way, which is the word's tokenization.
-
-Copying the arcs of a state for each gadget would take vocabulary-squared room, so a gadget is kept as what it changes:
-its two tokens and its rank. Whether state t has an arc v follows by undoing the gadgets of t and v, latest first: at
-its making, t's place was its right token's, and v's arc stood where its left token's stood. Answers are kept in a table
-of transitions, so encoding is table look-ups.
+"""BPE as a deterministic automaton, compiled merge by merge.
+
+First over tokens: states stand for the token read last. Before any merge, every base symbol leads on to every other. The
+gadget of a merge (u, v) -> uv then does two things to the automaton so far: wherever an arc u is followed by an arc v it
+lays an arc uv from the first place to the last, so uv leads to a place with the arcs that v's has by now, and it bars v
+from the place that u now leads to. A path spells a word in exactly one way, which is the word's tokenization.
+
+An arc that begins where u's began shares its fate, so a gadget bars v together with all tokens that are made later from
+v on the left. Tokens are numbered in preorder of their left parts, later ones first; then what a gadget bars is one range
+of numbers, and a state is a sorted list of barred ranges. All of them are built before any text is read.
+
+Then over symbols, which is what a word is read by: a state holds the longest end of the text so far that a token begins
+with, and the token read last at each place within it. By a symbol it goes on to just one other, for of the tokens that
+end there just one has an arc from the token before it. That is the transition table; its entries are made when they are
+first needed, from the compiled ranges, and kept. A word costs one look-up for each symbol, and its tokens are then read
+off from its end.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,87 +37,153 @@ from wordloom.llm.byte_bpe import vocabulary_path
 from wordloom.llm.common import map_batches, table, texts
 
 
-class MergeAutomaton:
-    """vocab: token -> id; merges: pairs in order of rank; suffix: what the last symbol of a word carries."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", entries: int = 1_000_000):
-        self.vocab, self.suffix, self.entries = vocab, suffix, entries
-        self.labels = {i: t for t, i in vocab.items()}
-        self.rank, self.left, self.right = {}, {}, {}
-        self.gadget: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        for rank, (u, v) in enumerate(merges):
-            a, b, made = vocab[u], vocab[v], vocab[u + v]
-            if made in self.rank:
+class TokenStates:
+    """The automaton over tokens: has(t, v) tells whether the state after t has an arc v.
+
+    whole: tokens with an arc from the start, that is, whose own string is read as this one token.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        parts: dict[int, tuple[int, int]] = {}
+        for u, v in merges:
+            made = vocab[u + v]
+            if made in parts:
                 raise ValueError(f"two merges make {u + v!r}; the construction needs one for each token")
-            self.rank[made], self.left[made], self.right[made], self.gadget[a, b] = rank, a, b, rank
-        #: Tokens with an arc from the start: their own string is read as this one token.
-        self.whole = {i for i in self.labels if i not in self.rank}
-        for made in self.rank:  # in order of rank
-            a, b = self.left[made], self.right[made]
-            if a in self.whole and b in self.whole and self._joined(a, b, self.rank[made]):
+            parts[made] = vocab[u], vocab[v]
+        rank = {made: r for r, made in enumerate(parts)}
+        later: dict[int, list[int]] = {}  # the tokens made from one on the left, the latest first
+        for made in reversed(parts):
+            later.setdefault(parts[made][0], []).append(made)
+        number, last, open_ = {}, {}, [i for i in vocab.values() if i not in rank]
+        while open_:  # preorder; on the way back a token's range ends
+            t = open_.pop()
+            if t < 0:
+                last[~t] = len(number)
+                continue
+            number[t] = len(number)
+            open_ += [~t, *reversed(later.get(t, ()))]
+
+        barred: dict[int, list[tuple[int, int]]] = {i: [] for i in vocab.values()}
+        self.whole = {i for i in vocab.values() if i not in rank}
+        for made, (u, v) in parts.items():  # one gadget after the other
+            if u in self.whole and v in self.whole and not any(a <= number[v] < b for a, b in barred[u]):
                 self.whole.add(made)
-        #: The longest token that begins with these one or two symbols.
-        self.reach: dict[str, int] = {}
+            barred[made] = barred[v].copy()
+            end = number[v] + 1
+            for x in later.get(v, ()):
+                if rank[x] < rank[made]:
+                    break
+                end = last[x]
+            barred[u].append((number[v], end))
+        self.number, self.first, self.begin, self.end = number, {}, [], []
+        for t, ranges in barred.items():
+            self.first[t] = len(self.begin)
+            high = 0
+            for a, b in sorted(ranges):
+                if b > high:
+                    if a > high or len(self.begin) == self.first[t]:
+                        self.begin.append(a)
+                        self.end.append(b)
+                    else:
+                        self.end[-1] = b
+                    high = b
+        self.until = dict(zip(self.first, [*list(self.first.values())[1:], len(self.begin)], strict=True))
+
+    def has(self, t: int, v: int) -> bool:
+        low, n = self.first[t], self.number[v]
+        at = bisect_right(self.begin, n, low, self.until[t]) - 1
+        return at < low or n >= self.end[at]
+
+
+class State(dict):
+    """A row of the transition table: symbol -> state, filled as it is used."""
+
+    __slots__ = ("automaton", "node", "read", "token")
+
+    def __init__(self, automaton: MergeAutomaton, node: int, read: tuple[int, ...]):
+        self.automaton, self.node, self.read, self.token = automaton, node, read, read[-1]
+
+    def __missing__(self, symbol: str) -> State:
+        made = self[symbol] = self.automaton.step(self, symbol)
+        return made
+
+
+class MergeAutomaton:
+    """vocab: token -> id; merges: pairs in order of rank; suffix: what the last symbol of a word carries; entries: states that are kept, about."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", entries: int = 300_000):
+        self.labels, self.suffix, self.entries = {i: t for t, i in vocab.items()}, suffix, entries
+        self.tokens = TokenStates(vocab, merges)
+        self.length: dict[int, int] = {}
+        #: The beginnings of tokens as a tree with, for each, the longest end of it that is one too, and the tokens that end it, longest first.
+        self.goto: list[dict[str, int]] = [{}]
+        self.depth, ends = [0], {}
         for token, i in vocab.items():
-            if i in self.whole:
-                plain = token.removesuffix(suffix) if suffix else token
-                self.reach[plain[:2]] = max(self.reach.get(plain[:2], 1), len(plain))
-
-    def _joined(self, t: int, v: int, bound: int) -> bool:
-        """Does the state after t have an arc v, once the gadgets of lower rank than bound are built?"""
-        rank, gadget = self.rank, self.gadget
-        while True:
-            if gadget.get((t, v), bound) < bound:
-                return False
-            a, b = rank.get(t, -1), rank.get(v, -1)
-            if a < 0 and b < 0:
-                return True
-            if a >= b:
-                t, bound = self.right[t], min(bound, a)
-            else:  # of equal pairs the left one is merged first
-                v, bound = self.left[v], min(bound, b + 1)
-
-    def arc(self, t: int, v: int) -> bool:
-        """The transition table, filled as it is used."""
-        if (known := self.arcs.get((t, v))) is None:
-            if len(self.arcs) >= self.entries:
-                self.arcs.clear()
-            known = self.arcs[t, v] = self._joined(t, v, len(self.rank) + 1)
-        return known
+            if i not in self.tokens.whole:
+                continue
+            plain, node = token.removesuffix(suffix) if suffix else token, 0
+            symbols = list(plain)
+            if len(plain) < len(token):
+                symbols[-1] += suffix
+            self.length[i] = len(symbols)
+            for c in symbols:
+                if (after := self.goto[node].get(c)) is None:
+                    after = self.goto[node][c] = len(self.depth)
+                    self.goto.append({})
+                    self.depth.append(self.depth[node] + 1)
+                node = after
+            ends[node] = i
+        self.shorter, self.ends, queue = [0] * len(self.depth), [()] * len(self.depth), deque([0])
+        while queue:
+            node = queue.popleft()
+            for c, after in self.goto[node].items():
+                self.shorter[after] = self._next(self.shorter[node], c) if node else 0
+                self.ends[after] = ((ends[after],) if after in ends else ()) + self.ends[self.shorter[after]]
+                queue.append(after)
+        self._clear()
+
+    def _clear(self) -> None:
+        #: States by the node and the tokens read last at the places since the node's beginning; -1 at the start of a word.
+        self.start = State(self, 0, (-1,))
+        self.states: dict[tuple[int, tuple[int, ...]], State] = {(0, (-1,)): self.start}
+
+    def _next(self, node: int, symbol: str) -> int:
+        while (after := self.goto[node].get(symbol)) is None:
+            if not node:
+                return 0
+            node = self.shorter[node]
+        return after
+
+    def step(self, state: State, symbol: str) -> State:
+        """The state that one goes on to: one more entry of the table."""
+        after = self._next(state.node, symbol)
+        for token in self.ends[after]:
+            before = state.read[-self.length[token]]
+            if before < 0 or self.tokens.has(before, token):
+                break
+        else:
+            raise ValueError(f"no token ends with {symbol!r}")
+        key = after, (*state.read, token)[-1 - self.depth[after] :]
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, *key)
+        return found
 
     def encode(self, symbols: str) -> list[int]:
-        """The ids of one pre-split word, given as its symbols: the only path that spells it, tried longest arc first."""
-        n, at, state = len(symbols), 0, -1
-        vocab, whole, reach, arcs, suffix = self.vocab, self.whole, self.reach, self.arcs, self.suffix
-        ids, lengths = [], []
-        dead: set[tuple[int, int]] = set()
-        size = min(n, reach.get(symbols[:2], 1))
-        while at < n:
-            while size:
-                end = at + size
-                v = vocab.get(symbols[at:end] + suffix if end == n else symbols[at:end])
-                if v is not None and v in whole and (end, v) not in dead:
-                    if state < 0:
-                        break
-                    known = arcs.get((state, v))
-                    if known if known is not None else self.arc(state, v):
-                        break
-                size -= 1
-            if size:
-                ids.append(v)
-                lengths.append(size)
-                at, state = end, v
-                size = min(n - at, reach.get(symbols[at : at + 2], 1))
-            else:  # a dead end: one arc back, and no further by it
-                if not ids:
-                    raise ValueError(f"no path for {symbols!r}")
-                dead.add((at, state))
-                size = lengths.pop()
-                at -= size
-                ids.pop()
-                state = ids[-1] if ids else -1
-                size -= 1
+        """The ids of one pre-split word, given as its symbols."""
+        if len(self.states) >= self.entries:
+            self._clear()
+        state, read = self.start, []
+        for c in symbols[:-1]:
+            state = state[c]
+            read.append(state)
+        read.append(state[symbols[-1] + self.suffix])
+        ids, at, length = [], len(read), self.length
+        while at:
+            token = read[at - 1].token
+            ids.append(token)
+            at -= length[token]
+        ids.reverse()
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -124,10 +198,30 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class WordBpe(dict):
-    """chunk without white space -> (ids as bytes, labels); a bounded cache, which changes no result."""
+class Recent(dict):
+    """A cache of at least `entries` keys used last: what was looked up since the last turn stays at the next one. made: a key's value."""
+
+    def __init__(self, made: Callable, entries: int):
+        super().__init__()
+        self.made, self.entries, self.before = made, entries, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.made(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.entries:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
-    def __init__(self, path: str, entries: int = 300_000):
+
+class WordBpe:
+    """Ids and labels of whole texts. Words and chunks without white space are cached, which changes no result."""
+
+    def __init__(self, path: str, entries: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -137,22 +231,22 @@ class WordBpe(dict):
         self.special = {t: (np.uint32(i).tobytes(), t) for t, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         self.space = regex.compile(r"\s+")
-        self.symbols, self.entries = byte_symbols(), entries
+        self.symbols = byte_symbols()
+        self.of_word, self.of_chunk = Recent(self._word, entries), Recent(self._chunk, entries)
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> list[int]:
+        return self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode())))
+
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids as bytes, and labels."""
         if chunk.isascii():
             lowered = chunk.lower()
         else:  # lower case letter by letter, without rules for a word's end
             lowered = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
         ids = []
         for word in (lowered,) if lowered.isalpha() and lowered.isascii() else self.words.findall(lowered):
-            ids += self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode())))
-        made = array("I", ids).tobytes(), self.automaton.decode(ids)
-        if len(chunk) <= 64:
-            if len(self) >= self.entries:
-                self.clear()
-            self[chunk] = made
-        return made
+            ids += self.of_word[word]
+        return array("I", ids).tobytes(), self.automaton.decode(ids)
 
     def _chunks(self, text: str) -> list[str]:
         #: str.split() cuts at four control characters more than the pre-tokenizer's \s.
@@ -161,9 +255,9 @@ class WordBpe(dict):
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as bytes, and the text that decoding them gives."""
         if "<|" in text:
-            parts = [x for s in self.split.split(text) for x in ([self.special[s]] if s in self.special else map(self.__getitem__, self._chunks(s)))]
+            parts = [x for s in self.split.split(text) for x in ([self.special[s]] if s in self.special else map(self.of_chunk.__getitem__, self._chunks(s)))]
         else:
-            parts = list(map(self.__getitem__, self._chunks(text)))
+            parts = list(map(self.of_chunk.__getitem__, self._chunks(text)))
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 
@@ -176,7 +270,8 @@ def word_bpe(path: str) -> WordBpe:
 def encode_words(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text: doc_id, ids (binary, four little-endian bytes each) and decoded.
 
-    A null or empty text has no ids and decodes to the empty text. One row for each row of docs, repeated ones too.
+    A null or empty text has no ids and decodes to the empty text; texts and words of any length are read whole. One row
+    for each row of docs, repeated ones too, and none for a table without rows.
     """
 
     def make():
