@@ -1,6 +1,7 @@
 """Readers of assets."""
 
 import json
+import os
 
 import pytest
 
@@ -32,3 +33,39 @@ def test_rule_tables(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(body))
     rows = {(r.table_name, r.ord): (r.input, r.alternatives, r.replacement, r.probability) for r in assets.rule_tables(spark, str(tmp_path / "t.json")).collect()}
     assert rows == {("phrases", 0): ("x", ["y", ""], None, None), ("phrases", 1): ("z", None, None, None), ("swaps", 0): ("a", None, "b", 0.7)}
+
+
+def test_accessors(spark, tmp_path):
+    def put(name, body):
+        (tmp_path / name).write_text(json.dumps(body, ensure_ascii=False), encoding="utf-8")
+        return str(tmp_path / name)
+
+    stats = assets.Statistics(spark, put("s.json", {"input": "x", "sample_size": 5, "categories": {"news": {"n_tokens": 7, "burstiness": 0.5}}}), ("news", "law"))
+    assert stats.metadata() == {"input": "x", "sample_size": "5", "skipped": None, "elapsed_s": None}
+    assert stats.number("news", "n_tokens") == 7 and stats.number("news", "mean_sentence_length") == 0
+    with pytest.raises(assets.StatsError):
+        stats.category("law")
+    with pytest.raises(KeyError):
+        stats.category("poetry")
+
+    path = put("r.json", {"assets": {"b": {"current_version": "2.0.0", "compatibility": "^2.0.0"}, "a": {"current_version": "1.2.0", "compatibility": "^1.0.0", "breaking_versions": ["1.1.0"]}}, "consumer_declared_requirements": {"x": {"asset_requirements": {"a": "^1.1.0"}}}})
+    registry = assets.Registry(spark, path)
+    assert registry.assets() == ["a", "b"] and registry.version() == "unknown" and registry.required_for("x") == {"a": "^1.1.0"}
+    assert registry.asset("a") == ("1.2.0", "^1.0.0", ["1.1.0"]) and registry.asset("b") == ("2.0.0", "^2.0.0", [])
+    for unknown in (registry.asset, registry.required_for):
+        with pytest.raises(KeyError, match="nobody"):
+            unknown("nobody")
+    put("r.json", {"$registry_version": "1.1.0", "assets": {}})
+    os.utime(path, (1, 1))
+    assert registry.version() == "1.1.0" and registry.assets() == []
+
+    tables = assets.RuleTables(spark, put("t.json", {"$schema_version": "1.0.0", "tables": {"numbered_transitions": {"probability": 0.5, "entries": [{"input": "first", "replacement": "to begin"}]}, "repetitive_starters": {"detectors": ["and", "so"], "replacements": ["then"]}}}))
+    assert tables.schema_version() == "1.0.0" and tables.names() == ["numbered_transitions", "repetitive_starters"]
+    assert tables.replacements("numbered_transitions") == [("first", "to begin")] and tables.listed("repetitive_starters", "detectors") == ["and", "so"]
+    with pytest.raises(KeyError, match="numbered_transitions, repetitive_starters"):
+        tables.table("none")
+
+    entries = assets.Entries(spark, put("d.json", {"pairs": [{"ar": "ب", "en": "b"}, {"ar": "", "en": "x"}, {"ar": "ا", "en": "a"}]}))
+    assert entries.count() == 3 and entries.patterns("ar") == ["ب", "ا"] and entries.patterns("en") == ["b", "x", "a"]
+    (tmp_path / "text.txt").write_text("ab ba", encoding="utf-8")
+    assert sorted(tuple(r)[:3] for r in assets.scan_files(spark, str(tmp_path / "text.txt"), ["a", "ba"]).collect()) == [(0, 1, "a"), (3, 5, "ba"), (4, 5, "a")]

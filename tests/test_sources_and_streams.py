@@ -1,11 +1,12 @@
 """Readers, sinks, remote calls and streams."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import mining, remote, terms, trace
+from wordloom.operators import matching, mining, pairing, remote, terms, trace
 from wordloom.sources import articles, exports
 from wordloom.streaming import traces
 
@@ -36,13 +37,25 @@ def test_entries(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = [(2, "b\tb", "ب", "law", 3, None), (1, "a<&|", "ا", "art", 9, "high")]
     pairs = spark.createDataFrame(rows, "position long, en string, ar string, domain string, corpus_freq long, confidence string")
-    exports.write_lines(exports.tsv(pairs), str(tmp_path / "t"), exports.tsv_header())
-    lines = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))).splitlines()
-    assert lines == ["en\tar\tdomain\tcorpus_freq\tconfidence", "a<&|\tا\tart\t9\thigh", "b b\tب\tlaw\t3\t"]
-    assert "a&lt;&amp;|" in exports.tbx(pairs).filter("position = 1").first().line
+    read = lambda n: "".join(p.read_text() for p in sorted((tmp_path / n).glob("part-*"))).splitlines()
+    want = ["en\tar\tdomain\tcorpus_freq\tconfidence", "a<&|\tا\tart\t9\thigh", "b b\tب\tlaw\t3\tmedium"]
+    for n, rows in (("t", 100), ("t2", 1)):
+        exports.write_lines(exports.tsv(pairs), str(tmp_path / n), rows=rows)
+        assert read(n) == want
+    exports.write_lines(exports.tbx(pairs), str(tmp_path / "x"))
+    entries = ElementTree.fromstringlist(read("x")[1:]).findall(".//termEntry")
+    assert [(e.get("id"), [d.text for d in e.findall("descrip")], [t.text for t in e.iter("term")]) for e in entries] == [("term-1", ["art", "high", "9"], ["a<&|", "ا"]), ("term-2", ["law", "medium", "3"], ["b\tb", "ب"])]
+    exports.write_lines(exports.json_array(pairs, ("en", "ar", "corpus_freq", "confidence")), str(tmp_path / "a"))
+    listed = [{"en": "a<&|", "ar": "ا", "corpus_freq": 9, "confidence": "high"}, {"en": "b\tb", "ar": "ب", "corpus_freq": 3, "confidence": None}]
+    assert "\n".join(read("a")) == json.dumps(listed, ensure_ascii=False, indent=2)
     assert "a<&\\|" in exports.markdown(pairs, ("en",)).filter("position = 1").first().line
-    exports.write_domains(pairs, str(tmp_path / "d"))
+    for name, form in (("full", "tsv"), ("minimal", "json")):
+        with pytest.raises(ValueError):
+            exports.view_lines(pairs, name, form)
+    exports.write_domains(pairs, str(tmp_path / "d"), least=1)
     assert sorted(p.name for p in (tmp_path / "d").glob("domain=*")) == ["domain=art", "domain=law"]
+    exports.write_domains(pairs, str(tmp_path / "d2"), ["law"], 1)
+    assert sorted(p.name for p in (tmp_path / "d2").glob("domain=*")) == ["domain=law"]
     exports.write_json(pairs, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
@@ -71,6 +84,39 @@ def test_remote_call(answers, kind, attempts):
     assert (made["ok"], made["error_class"], made["attempts"]) == (kind is None, kind, attempts)
 
 
+def test_pairing_end_to_end(spark):
+    def vendor_answer(vendor, prompt, timeout):
+        """Proposes for each numbered term; the second vendor agrees on some, and a batch with "bad" in it fails."""
+        if "bad" in prompt:
+            return 401, ""
+        named = [line.split(" ")[1] for line in prompt.splitlines()]
+        made = [{"ar": t, "en": f"{t} word" if vendor == "one" or t < "c" else "other", "confidence": "low" if t == "a" else "medium"} for t in named]
+        return 200, json.dumps({"content": f"Here: {json.dumps(made)}"})
+
+    rows = [(i + 1, t, 9 - i, "unigram") for i, t in enumerate(["a", "b", "c", "d", "bad", "e"])]
+    candidates = spark.createDataFrame(rows, "rank long, term string, freq long, ngram_size string")
+    pairs = {r.ar: (r.en, r.confidence, r.corpus_freq, r.proposer) for r in pairing.pair(candidates, "one", vendor_answer, size=4).collect()}
+    assert pairs == {t: (f"{t} word", "medium", 10 - n, "one") for n, t in ((2, "b"), (3, "c"), (4, "d"))}
+    both = {r.ar: (r.confidence, r.cross_agreement, r.disagreement_alt_en) for r in pairing.pair(candidates, "one", vendor_answer, "two", 4).collect()}
+    assert both == {"b": ("high", True, None), "c": ("medium", False, "other"), "d": ("medium", False, "other")}
+
+
+def test_many_phrases(spark):
+    docs = spark.createDataFrame([(1, "One two, three_x w7"), (2, "w7 one"), (3, None)], "doc_id long, text string")
+    phrases = ["one", "two, three", "", "One", "none"] + [f"filler{'x' * i}" for i in range(matching.FEW_PHRASES + 1)] + ["w7"]
+    got = sorted(tuple(r) for r in matching.phrase_hits(docs, phrases).collect())
+    want = [(1, 1, "one"), (1, 4, "One"), (1, len(phrases), "w7"), (2, 1, "one"), (2, 4, "One"), (2, len(phrases), "w7")]
+    assert got == want
+
+
+def test_numbering_without_one_task(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PLACES", 3)
+    rows = [(f"t{i}", i % 4, i % 3, i) for i in range(60)]
+    made = terms.numbered(spark.createDataFrame(rows, "ar string, corpus_freq long, domain_ord long, ord long").selectExpr("ar", "corpus_freq", "struct(domain_ord, ord) AS seen"))
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[2], r[3]))]
+    assert [r.ar for r in made.orderBy("position").collect()] == want and sorted(r.position for r in made.collect()) == list(range(1, 61))
+
+
 def test_breaker_and_fallback():
     now = [0.0]
     breaker = remote.Breaker(clock=lambda: now[0])

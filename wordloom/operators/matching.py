@@ -99,8 +99,27 @@ def first_match(matches: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return matches.groupBy(doc_id).agg(best.alias("m")).select(doc_id, "m.start", "m.end", "m.pattern")
 
 
+#: Single words that are tried one by one; more of them are joined.
+FEW_PHRASES = 64
+
+
+def pattern_list(rows: DataFrame, column: str, most: int = 100_000) -> list[str]:
+    """The patterns of a table's column for match_automaton(), without empty ones, repeated ones kept; a table of more than `most` is an error."""
+    found = rows.select(F.col(column).alias("pattern")).filter("pattern != ''").limit(most + 1).toArrow()["pattern"].to_pylist()
+    if len(found) > most:
+        raise ValueError(f"more than {most} patterns; match_all() or phrase_join() take any number")
+    return found
+
+
 def phrase_hits(docs: DataFrame, phrases: list[str], column: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Which phrases a text has between word boundaries, without regard to case: doc_id, pair_no (from 1), phrase; once each."""
+    words = [p for p in phrases if p and p.isalpha()]
+    if len(words) > FEW_PHRASES:
+        spark, named = docs.sparkSession, [(i, p, p.lower()) for i, p in enumerate(phrases, 1) if p in set(words)]
+        listed = spark.createDataFrame(named, "pair_no long, phrase string, lowered string")
+        hits = phrase_join(docs, listed.select(F.col("lowered").alias("phrase")).distinct(), column, doc_id).withColumnRenamed("phrase", "lowered").join(listed, "lowered").select(doc_id, "pair_no", "phrase")
+        others = [p if p not in set(words) else "" for p in phrases]
+        return hits.unionByName(phrase_hits(docs, others, column, doc_id)) if any(others) else hits
     lowered = docs.select(doc_id, F.lower(column).alias("lowered"))
     tests = F.array(*[F.struct(F.lit(i).cast("long").alias("pair_no"), F.lit(p).alias("phrase"), F.col("lowered").rlike(text.whole_phrase(p.lower())).alias("hit")) for i, p in enumerate(phrases, 1) if p])
     return lowered.select(doc_id, F.explode(F.filter(tests, lambda x: x["hit"])).alias("x")).select(doc_id, "x.pair_no", "x.phrase")

@@ -24,7 +24,7 @@ def problems(audited: DataFrame) -> DataFrame:
 
 def flatten(schema: dict, prefix: str = "", definitions: bool = True) -> list[tuple[str, str, list[str], bool]]:
     """path, type, enum and whether it is required, for each field of a JSON schema; [] stands for array items. Definitions
-    come under #/definitions/, those of the later draft too."""
+    come under #/definitions/; $defs and $ref are not followed."""
     rows = []
     required = set(schema.get("required", []))
     for name, field in schema.get("properties", {}).items():
@@ -38,9 +38,8 @@ def flatten(schema: dict, prefix: str = "", definitions: bool = True) -> list[tu
         for option in schema.get(key, []):
             rows += flatten(option, prefix, False)
     if definitions:
-        for key in ("definitions", "$defs"):
-            for name, own in schema.get(key, {}).items():
-                rows += flatten(own, f"#/definitions/{name}", False)
+        for name, own in schema.get("definitions", {}).items():
+            rows += flatten(own, f"#/definitions/{name}", False)
     return list(dict.fromkeys((p, t, tuple(e), r) for p, t, e, r in rows)) if definitions else rows
 
 
@@ -71,6 +70,12 @@ def classify(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("n_changes"), F.when(F.max(F.col("change").isin(major).cast("int")) == 1, "MAJOR").when(F.max(F.col("change").isin(minor).cast("int")) == 1, "MINOR").otherwise("PATCH").alias("level"))
 
 
+def report(changes: DataFrame) -> DataFrame:
+    """The whole diff as one JSON object: n_changes, level and the changes by path."""
+    rows = F.array_sort(F.collect_list(F.struct("path", "change", "detail")))
+    return changes.agg(rows.alias("changes")).crossJoin(classify(changes)).select(F.to_json(F.struct("n_changes", "level", "changes")).alias("report"))  # one row each
+
+
 def summary(changes: DataFrame, most: int = 30) -> DataFrame:
     """Report lines, `most` a section."""
     from pyspark.sql import Window

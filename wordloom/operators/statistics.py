@@ -89,3 +89,13 @@ def repeated_starters(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     own = rows.withColumn("starter", F.lower(F.split("sentence", " ")[0]))
     before = F.lag("starter").over(Window.partitionBy(doc_id).orderBy("sent_no"))
     return own.withColumn("before", before).filter("starter = before").select(doc_id, "sent_no", "starter")
+
+
+def varied_starters(rows: DataFrame, detectors: list[str], pool: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """Sentences that begin with a detected starter, as one before them in their document does, begin with the pool's entries in turn: doc_id, sent_no, sentence."""
+    own = rows.withColumn("starter", F.lower(F.split("sentence", " ")[0]))
+    detected = F.col("starter").isin(*[d.lower() for d in detectors])
+    seen = F.row_number().over(Window.partitionBy(doc_id, "starter").orderBy("sent_no"))
+    put = F.element_at(F.array(*map(F.lit, pool)), F.pmod(F.col("seen") - 2, F.lit(len(pool))) + 1)
+    rest = F.substring(F.col("sentence"), F.length("starter") + 1, F.length("sentence"))
+    return own.withColumn("seen", seen).select(doc_id, "sent_no", F.when(detected & (F.col("seen") > 1), F.concat(put, rest)).otherwise(F.col("sentence")).alias("sentence"))

@@ -12,6 +12,8 @@ from wordloom.functions import text
 CONFIDENCE = {"low": 1, "medium": 2, "medium_consensus": 2, "topic-guarded": 3, "high": 4, "high_user_attested": 5}
 #: The three-level ranks of pairs; a missing confidence is medium.
 PAIR_CONFIDENCE = {"low": 1, "medium": 2, "high": 3}
+#: The ranks by which one entry of a term is chosen; what users attested has none here.
+CANONICAL = {"low": 1, "medium": 2, "medium_consensus": 2, "topic-guarded": 3, "high": 4}
 VENDORS = ("codex", "gemini", "kimi", "minimax")
 PROPOSAL = "array<struct<ar:string,en:string,domain:string,confidence:string>>"
 
@@ -67,7 +69,7 @@ def domain_allows(domain: str, allowed: str = "applies_only_in_domain") -> Colum
 
 def canonical(entries: DataFrame, key: str = "en", ranks: dict[str, int] | None = None) -> DataFrame:
     """Each key's entry of best confidence, the first in file order among equals."""
-    order = Window.partitionBy(key).orderBy(F.desc(_rank(F.col("confidence"), ranks or CONFIDENCE)), "ord")
+    order = Window.partitionBy(key).orderBy(F.desc(_rank(F.col("confidence"), ranks or CANONICAL)), "ord")
     return entries.withColumn("pick", F.row_number().over(order)).filter("pick = 1").drop("pick")
 
 
@@ -162,12 +164,44 @@ def union_domains(domains: dict[str, DataFrame]) -> DataFrame:
     return made
 
 
+def export_rows(pairs: DataFrame, least: str = "medium") -> DataFrame:
+    """Pairs fit for export: terms stripped, those with an empty side dropped, a missing confidence medium, a missing frequency 0, and of `least` confidence."""
+    clean = pairs.withColumns({**{c: text.strip(F.coalesce(c, F.lit(""))) for c in ("ar", "en")}, "confidence": F.coalesce("confidence", F.lit("medium")), "corpus_freq": F.coalesce("corpus_freq", F.lit(0).cast("long"))})
+    return confident(clean.filter("ar != '' AND en != ''"), least, PAIR_CONFIDENCE)
+
+
+#: Places of one domain that are numbered by one task.
+PLACES = 1 << 16
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with position: their number by corpus_freq, highest first, then by seen, a struct of domain_ord and ord that no two rows share.
+
+    Rows are numbered within shares of one frequency, domain and range of places; shares are counted, and each begins
+    where those before it end. Only the table of frequencies is in one task: n of them need about n * n / 2 occurrences.
+    """
+    share = ["corpus_freq", "seen_domain", "seen_part"]
+    own = rows.withColumns({"seen_domain": F.col("seen.domain_ord"), "seen_part": F.floor(F.col("seen.ord") / PLACES)})
+    counted = own.groupBy(*share).agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_freq = counted.groupBy("corpus_freq").agg(F.sum("n").alias("n")).select("corpus_freq", before(Window.orderBy(F.desc("corpus_freq"))).alias("higher"))
+    begins = counted.withColumn("earlier", before(Window.partitionBy("corpus_freq").orderBy("seen_domain", "seen_part"))).join(of_freq, "corpus_freq").select(*share, (F.col("higher") + F.col("earlier")).alias("begin"))
+    within = F.row_number().over(Window.partitionBy(*share).orderBy("seen"))
+    return own.join(begins, share).withColumn("position", (F.col("begin") + within).cast("long")).drop("seen_domain", "seen_part", "begin")
+
+
 def dedup_domains(pairs: DataFrame) -> DataFrame:
-    """One pair a term, that of highest frequency (then first domain, first place), ordered by frequency, then first sighting of the term."""
+    """One pair a term, that of highest frequency (then first domain, first place), numbered by frequency, then first sighting of the term."""
     best = Window.partitionBy("ar").orderBy(F.desc("corpus_freq"), "domain_ord", "ord")
     seen = F.min(F.struct("domain_ord", "ord")).over(Window.partitionBy("ar"))
-    kept = pairs.withColumns({"pick": F.row_number().over(best), "seen": seen}).filter("pick = 1")
-    return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc("corpus_freq"), "seen")).cast("long")).drop("pick", "seen")
+    return numbered(pairs.withColumns({"pick": F.row_number().over(best), "seen": seen}).filter("pick = 1")).drop("pick", "seen")
+
+
+def confirmed_naturals(entries: DataFrame, candidates: DataFrame, natural: str = "natural", term: str = "term") -> DataFrame:
+    """entries with corpus_confirmed: is the natural side, stripped, a mined candidate?"""
+    known = candidates.select(F.col(term).alias("known_term")).distinct()
+    found = entries.join(known, text.strip(F.col(natural)) == F.col("known_term"), "left")
+    return found.withColumn("corpus_confirmed", F.col("known_term").isNotNull()).drop("known_term")
 
 
 def top_pairs(pairs: DataFrame, n: int, by: str = "corpus_freq") -> DataFrame:

@@ -112,7 +112,7 @@ def _freq(n: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens = mining.tokens(ar_documents(spark, sf_dir)).select("doc_id", "tokens")
         grams = tokens.select("doc_id", F.explode(text.ngrams(F.col("tokens"), (n,))).alias("g")).select("doc_id", "g.*")
-        return mining.frequencies(grams).filter(F.col("freq") >= LEAST).select("term", "freq", "first_seen")
+        return mining.frequencies(grams).filter(F.col("freq") >= LEAST).select("term", "freq", F.col("first_seen").cast("long").alias("first_seen"))
 
     return query
 

@@ -25,19 +25,27 @@ KNOWN = (*REQUIRED, "regional_sensitivity", "exclude_if_pattern", "context_keywo
 TABLES = Literal("table_name string, policy string, probability double", [("good", "replace", 0.5), ("odd", "guess", 1.5), ("bare", None, None), ("blank", "replace", 0.1)])
 ROWS = Literal("table_name string, input string", [("good", "a"), ("odd", "b"), ("blank", ""), ("blank", "c")])
 MARKERS = (Literal("marker string", [("a/SKILL.md",), ("b/run.py",), ("c/x.json",)]), Literal("marker string", [("a/SKILL.md",), ("c/x.json",), ("d",)]))
-_CHANGES = [
-    ("n", "type_changed", "integer -> number"), ("n", "required_added", ""), ("kind", "enum_removed", "b"), ("kind", "enum_added", "c"), ("kind", "required_removed", ""), ("fresh", "added", "string"), ("rows[].gone", "removed", "string"),
-    ("#/definitions/T.q", "type_changed", "string -> string|null"),
-]
-_V = Literal("path string, change string, detail string", _CHANGES)
-_ISSUES = Literal("ord long, severity string, rule string, detail string", [
-    (1, "error", "required", "en"), (1, "error", "enum", "confidence=odd"), (1, "warning", "same_sides", "a"), (1, "warning", "unknown_field", "typo"), (2, "warning", "exclude_without_count", ""),
-    (3, "error", "required", "natural"), (3, "error", "required", "domain"), (3, "warning", "unknown_field", "extra"), (3, "warning", "unknown_field", "typo"), *[(4, "error", "required", k) for k in REQUIRED],
-])
+_OLD, _NEW = (Literal("path string, type string, enum array<string>, required boolean", meta.flatten(x)) for x in (OLD, NEW))
+_LISTED = lambda gone, come: f"array_to_string(list_sort(list_filter({gone}.enum, lambda x: NOT list_contains({come}.enum, x))), ',')"
+_GONE, _COME = _LISTED("o", "n"), _LISTED("n", "o")
+CHANGES_SQL = f"""(SELECT path, unnest(c).change AS change, unnest(c).detail AS detail FROM (SELECT coalesce(o.path, n.path) AS path, list_filter([
+{{'change': CASE WHEN o.path IS NULL THEN 'added' END, 'detail': n.type}}, {{'change': CASE WHEN n.path IS NULL THEN 'removed' END, 'detail': o.type}}, {{'change': CASE WHEN n.required AND NOT coalesce(o.required, false) THEN 'required_added' END, 'detail': ''}},
+{{'change': CASE WHEN o.required AND NOT n.required THEN 'required_removed' END, 'detail': ''}}, {{'change': CASE WHEN o.type != n.type THEN 'type_changed' END, 'detail': o.type || ' -> ' || n.type}},
+{{'change': CASE WHEN n.path IS NOT NULL AND {_GONE} != '' THEN 'enum_removed' END, 'detail': {_GONE}}}, {{'change': CASE WHEN o.path IS NOT NULL AND {_COME} != '' THEN 'enum_added' END, 'detail': {_COME}}}], lambda x: x.change IS NOT NULL) AS c
+FROM {_OLD.sql()} o FULL JOIN {_NEW.sql()} n ON o.path = n.path))"""
+_TEXT = lambda k: f"json_extract_string(json, '$.{k}')"
+_HAS = lambda k: f"list_contains(json_keys(json), '{k}')"
+ISSUES_SQL = " UNION ALL ".join([
+    *[f"SELECT ord, 'error' AS severity, 'required' AS rule, '{k}' AS detail FROM {{0}} WHERE trim(coalesce({_TEXT(k)}, '')) = ''" for k in REQUIRED],
+    *[f"SELECT ord, 'error', 'enum', '{k}=' || {_TEXT(k)} FROM {{0}} WHERE {_TEXT(k)} NOT IN ({', '.join(map(repr, allowed))})" for k, allowed in ENUMS.items()],
+    f"SELECT ord, 'warning', 'same_sides', {_TEXT('calque')} FROM {{0}} WHERE {_TEXT('calque')} = {_TEXT('natural')}",
+    f"SELECT ord, 'warning', 'exclude_without_count', '' FROM {{0}} WHERE {_HAS('exclude_if_pattern')} AND NOT {_HAS('context_keywords_required_count')}",
+    f"SELECT ord, 'warning', 'unknown_field', k FROM (SELECT ord, unnest(json_keys(json)) AS k FROM {{0}}) WHERE k NOT IN ({', '.join(map(repr, KNOWN))})",
+]).replace("{0}", ENTRIES.sql())
 
 
 def _changes(spark: SparkSession) -> DataFrame:
-    return meta.diff(meta.fields(spark, OLD), meta.fields(spark, NEW))
+    return meta.diff(_OLD.frame(spark), _NEW.frame(spark))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +87,7 @@ QUERIES = {
     "semver_range_matrix": matrix,
     "registry_compat": lambda s, d: ASSETS.frame(s).select("asset_id", semver.is_compatible(F.col("version"), F.lit(None).cast("string"), F.col("band"), F.col("breaking")).alias("compatible")),
     "consumer_audit": lambda s, d: audited(s), "consumer_problems": lambda s, d: meta.problems(audited(s)),
-    "schema_diff_fields": lambda s, d: _changes(s), "schema_diff_class": lambda s, d: meta.classify(_changes(s)), "schema_diff_summary": lambda s, d: meta.summary(_changes(s)),
+    "schema_diff_fields": lambda s, d: _changes(s), "schema_diff_class": lambda s, d: meta.classify(_changes(s)), "schema_diff_summary": lambda s, d: meta.summary(_changes(s)), "schema_diff_report": lambda s, d: meta.report(_changes(s)),
     "validate_entries": lambda s, d: meta.validate(ENTRIES.frame(s), REQUIRED, ENUMS, KNOWN),
     "field_coverage": lambda s, d: meta.coverage(ENTRIES.frame(s), ("regional_sensitivity", "exclude_if_pattern")),
     "unknown_fields": lambda s, d: meta.unknown_fields(ENTRIES.frame(s), KNOWN),
@@ -97,13 +105,16 @@ ORACLE_SQL = {
     "registry_compat": f"SELECT asset_id, NOT list_contains(breaking, version) AND {_fits('version', 'band')} AS compatible FROM {ASSETS.sql()}",
     "consumer_audit": f"SELECT * FROM {AUDIT_SQL}",
     "consumer_problems": f"SELECT consumer, asset_id, CASE status WHEN 'missing' THEN asset_id || ' is not in the registry' ELSE asset_id || ' ' || version || ' does not meet ' || coalesce(requirement, 'null') END AS message FROM {AUDIT_SQL} WHERE status != 'ok'",
-    "schema_diff_fields": f"SELECT path, change, detail FROM {_V.sql()}",
-    "schema_diff_class": "SELECT CAST(8 AS BIGINT) AS n_changes, 'MAJOR' AS level",
-    "schema_diff_summary": f"SELECT change, row_number() OVER (PARTITION BY change ORDER BY path) AS line_no, path || ' ' || detail AS line FROM {_V.sql()}",
-    "validate_entries": f"SELECT * FROM {_ISSUES.sql()}",
+    "schema_diff_fields": f"SELECT * FROM {CHANGES_SQL}",
+    "schema_diff_class": f"SELECT count(*) AS n_changes, CASE WHEN bool_or(change IN ('removed', 'type_changed', 'required_added', 'enum_removed')) THEN 'MAJOR' WHEN count(*) > 0 THEN 'MINOR' ELSE 'PATCH' END AS level FROM {CHANGES_SQL}",
+    "schema_diff_summary": f"SELECT change, row_number() OVER (PARTITION BY change ORDER BY path) AS line_no, path || ' ' || detail AS line FROM {CHANGES_SQL}",
+    "schema_diff_report": f"SELECT CAST(to_json(struct_pack(n_changes := count(*), level := CASE WHEN bool_or(change IN ('removed', 'type_changed', 'required_added', 'enum_removed')) THEN 'MAJOR' ELSE 'MINOR' END, changes := list(struct_pack(path := path, change := change, detail := detail) ORDER BY path, change, detail))) AS VARCHAR) AS report FROM {CHANGES_SQL}",
+    "validate_entries": ISSUES_SQL,
     "field_coverage": "SELECT f AS field, CAST(count_if(list_contains(json_keys(json), f)) AS BIGINT) AS n_present, CAST(count_if(list_contains(json_keys(json), f) AND json_extract_string(json, '$.' || f) IS NULL) AS BIGINT) AS n_null FROM " + ENTRIES.sql() + " CROSS JOIN (VALUES ('regional_sensitivity'), ('exclude_if_pattern')) t(f) GROUP BY 1",
     "unknown_fields": f"SELECT field, count(*) AS n FROM (SELECT unnest(json_keys(json)) AS field FROM {ENTRIES.sql()}) WHERE field NOT IN ({', '.join(repr(k) for k in KNOWN)}) GROUP BY 1",
-    "soft_validate_tables": "SELECT * FROM (VALUES ('odd', 'unknown policy guess'), ('odd', 'probability is outside 0 to 1'), ('bare', 'policy is missing'), ('bare', 'the table is empty'), ('blank', 'a row has no input')) t(table_name, message)",
+    "soft_validate_tables": f"""WITH t AS (SELECT t.*, r.n, r.blank FROM {TABLES.sql()} t LEFT JOIN (SELECT table_name, count(*) AS n, count_if(coalesce(input, '') = '') AS blank FROM {ROWS.sql()} GROUP BY 1) r USING (table_name))
+SELECT table_name, 'policy is missing' AS message FROM t WHERE coalesce(policy, '') = '' UNION ALL SELECT table_name, 'unknown policy ' || policy FROM t WHERE policy NOT IN ('', 'replace', 'insert') UNION ALL SELECT table_name, 'probability is outside 0 to 1' FROM t WHERE probability < 0 OR probability > 1
+UNION ALL SELECT table_name, 'the table is empty' FROM t WHERE coalesce(n, 0) = 0 UNION ALL SELECT table_name, 'a row has no input' FROM t WHERE blank > 0""",
     "asset_health": "SELECT 'events' AS asset, 'OK' AS status, count(*) AS n_rows, '1.0.0' AS schema_version FROM events UNION ALL SELECT 'rows', 'OK', 4, 'unknown' UNION ALL SELECT 'none', 'EMPTY', 0, 'unknown' UNION ALL SELECT 'gone', 'MISSING', 0, 'unknown'",
     "marker_reachability": f"SELECT marker, marker IN (SELECT marker FROM {MARKERS[1].sql()}) AS found FROM {MARKERS[0].sql()}",
     "trace_seq": f"SELECT * FROM {TRACE_SQL}",

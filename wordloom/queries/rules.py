@@ -10,6 +10,7 @@ from wordloom.plans.inputs import AR_SQL, Literal, ar_documents, spread, table
 
 #: Our own small tables.
 CONNECTORS = [("and", "plus"), ("the", "that"), ("of", "from"), ("und", "sowie")]
+TRANSITIONS = [("first", "to begin"), ("is", "remains"), ("und", "dann")]
 DESTACK = [("very very ", "very "), ("(really) (?:really )+", "{0} "), ("is is", "is")]
 OPENERS = [("^(The [a-z]+) ", "Note: {0} "), ("^It ", "This ")]
 FILLERS = ["indeed", "in fact", "well"]
@@ -17,7 +18,7 @@ PHRASES = {"idiot": ("abuse", "tone"), "moron": ("abuse", "tone"), "All rights":
 LINES = Literal(
     "id long, text string",
     [
-        (0, "كتب text2 نص, ثم; قال? نعم% ( نص ) كتاب(ب) ."), (1, "قال — ثم ذهب، لأن الوقت ضاق ،إذ كان"), (2, "كـــتاب و كتـاب"), (3, 'قال "نعم" ثم "لا" وكتب «شيئا»'), (4, "تفاح، موز، برتقال ثم ذهب"), (5, ""), (6, 'plain and "the quoted and" the end'), (7, "خبر، لذلك عاد"),
+        (0, "كتب text2 نص, ثم; قال? نعم% ( نص ) كتاب(ب) ."), (1, "قال — ثم ذهب، لأن الوقت ضاق ،إذ كان"), (2, "كـــتاب و كتـاب"), (3, 'قال "نعم" ثم "لا" وكتب «شيئا»'), (4, "تفاح، موز، برتقال ثم ذهب"), (5, ""), (6, 'plain and "the quoted and" the end'), (7, "خبر، لذلك عاد"), (8, "ورد، وفل، ياسمين، نرجس وقال كتاب، قلم، دفتر"), (9, 'and "open and «and» and "x" and'), (10, None),
     ],
 )
 ALTERNATIVES = Literal("table_name string, ord long, input string, alternatives array<string>, source_tag string", [
@@ -47,6 +48,10 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(rules.replace_gated(F.col("text"), F.col("doc_id"), CONNECTORS, 0.7)).alias("md5"))
 
 
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(rules.replace_gated(F.col("text"), F.col("doc_id"), TRANSITIONS, 0.5)).alias("md5"))
+
+
 def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LINES.frame(spark).select("id", rules.outside_quotes(F.col("text"), lambda c: F.replace(c, F.lit("and"), F.lit("&"))).alias("text"))
 
@@ -97,12 +102,12 @@ _POLICY_SQL = ", ".join(f"('{r}', '{f}', {str(f in own).lower()})" for r, own in
 _PIECES = "regexp_split_to_array(text, '\\bthe\\b')"
 
 
-def _gated_sql() -> str:
+def _gated_sql(table: list[tuple[str, str]], share: int) -> str:
     """Words between ASCII and other letters: matches may share a boundary character, so the pattern is applied twice."""
     made = "text"
-    for i, (w, new) in sorted(enumerate(CONNECTORS), key=lambda x: (-len(x[1][0]), x[0])):
+    for i, (w, new) in sorted(enumerate(table), key=lambda x: (-len(x[1][0]), x[0])):
         once = lambda t, w=w, new=new: f"regexp_replace({t}, '{_WORD(w)}', '\\1{new}\\2', 'g')"
-        made = f"CASE WHEN (doc_id * 31 + {i * 17 + 7}) % 1000 < 700 THEN {once(once(made))} ELSE {made} END"
+        made = f"CASE WHEN (doc_id * 31 + {i * 17 + 7}) % 1000 < {share} THEN {once(once(made))} ELSE {made} END"
     return f"SELECT doc_id, md5({made}) AS md5 FROM documents"
 
 
@@ -111,20 +116,27 @@ QUERIES = {
     **{f"typo_{n}_lines": _lines(f) for n, (f, _) in _RULES.items()},
     "typo_dash_to_comma_lines": _lines(rules.dash_to_comma), "typo_list_conjunction_lines": _lines(rules.list_conjunction),
     "typography_news": _lines(lambda c: rules.typography(c, "news")),
-    "connector_replace_gated": gated, "quoted_bypass": quoted, "structural_openers": openers, "intensifier_destack": destack, "filler_insert": filled, "quote_verb_rotation": rotated,
+    "connector_replace_gated": gated, "numbered_transitions": transitions, "quoted_bypass": quoted, "structural_openers": openers, "intensifier_destack": destack, "filler_insert": filled, "quote_verb_rotation": rotated,
     "anti_pattern_hits": hits, "respect_score": scored, "register_policy_matrix": lambda s, d: rules.policy(s),
     "register_gate": lambda s, d: rules.gated_by(_docs(s, d).select("doc_id", F.element_at(F.array(*map(F.lit, rules.POLICY)), (F.col("doc_id") % 4 + 1).cast("int")).alias("register")), "calque_dictionary"),
     "phrase_alternatives": lambda s, d: rules.alternatives(ALTERNATIVES.frame(s), "in conclusion").select("input", F.col("choice").cast("long").alias("choice"), "alternative"),
     "source_tag_counts": lambda s, d: rules.source_tags(ALTERNATIVES.frame(s)),
     "rule_priority": lambda s, d: rules.longest_table(ALTERNATIVES.frame(s)).select("table_name", "input", "priority"),
 }
+def _rebuilt_sql(pattern: str, free: str, found: str) -> str:
+    """LINES with `free` of each x outside the pattern's places and `found` of each x that is one."""
+    return f"""SELECT id, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce(hits[i], '')), '') AS text
+FROM (SELECT id, list_transform(string_split_regex(text, '{pattern}'), lambda x: {free}) AS pieces, list_transform(regexp_extract_all(text, '{pattern}'), lambda x: {found}) AS hits FROM {LINES.sql()})"""
+
+
 ORACLE_SQL = {
     **{f"typo_{n}": f"SELECT doc_id, md5({sql}) AS md5 FROM {AR_SQL}" for n, (_, sql) in _RULES.items()},
     **{f"typo_{n}_lines": f"SELECT id, {sql} AS text FROM {LINES.sql()}" for n, (_, sql) in _RULES.items()},
     "typo_dash_to_comma_lines": f"SELECT id, regexp_replace(text, '({_A}) *— *({_A})', '\\1، \\2', 'g') AS text FROM {LINES.sql()}",
-    "typo_list_conjunction_lines": f"SELECT id, CASE id WHEN 4 THEN 'تفاح، وموز، وبرتقال ثم ذهب' ELSE text END AS text FROM {LINES.sql()}",
-    "connector_replace_gated": _gated_sql(),
-    "quoted_bypass": f"SELECT id, CASE id WHEN 6 THEN 'plain & \"the quoted and\" the end' ELSE text END AS text FROM {LINES.sql()}",
+    "typo_list_conjunction_lines": _rebuilt_sql("(?:\\p{L}+، ){2,}\\p{L}+", "x", "array_to_string(list_transform(string_split(x, '، '), lambda w, i: CASE WHEN i > 1 AND NOT starts_with(w, 'و') THEN 'و' || w ELSE w END), '، ')"),
+    "connector_replace_gated": _gated_sql(CONNECTORS, 700),
+    "numbered_transitions": _gated_sql(TRANSITIONS, 500),
+    "quoted_bypass": _rebuilt_sql('"[^"]*"|«[^»]*»', "replace(x, 'and', '&')", "x"),
     "structural_openers": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^(The [a-z]+) ', 'Note: \\1 '), '^It ', 'This ')) AS md5 FROM documents",
     "intensifier_destack": "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace('is is very very really really ' || text, 'very very ', 'very ', 'g'), '(really) (?:really )+', '\\1 ', 'g'), 'is is', 'is', 'g')) AS md5 FROM documents",
     "filler_insert": f"SELECT doc_id, sent_no, f AS filled, md5(CASE WHEN f THEN ['indeed', 'in fact', 'well'][(doc_id + sent_no) % 3 + 1] || ' ' || sentence ELSE sentence END) AS md5 FROM (SELECT *, (doc_id * 31 + sent_no * 17 + 7) % 1000 < 80 AND length(sentence) > 40 AND sent_no > 0 AS f FROM {_SENT_SQL})",

@@ -33,6 +33,8 @@ _BINS = "CASE " + " ".join(f"WHEN n_words <= {top} THEN '{name}'" for top, name
 _MARKS = "length(regexp_replace(text, '[^\\x{064B}-\\x{0652}\\x{0670}]', '', 'g'))"
 _AR = "length(regexp_replace(text, '[^\\x{0620}-\\x{064A}\\x{066E}-\\x{066F}\\x{0671}-\\x{06D3}\\x{06D5}\\x{06E5}-\\x{06E6}\\x{06EE}-\\x{06EF}\\x{06FA}-\\x{06FC}\\x{06FF}]', '', 'g'))"
 
+#: Starters that are varied when a document repeats them, and what they are varied by.
+DETECTORS, POOL = ["the", "it", "in", "and", "un", "der"], ["Besides", "Then again", "Here"]
 QUERIES = {
     "sentence_length_stats": lambda s, d: statistics.length_stats(_rows(s, d)),
     "sentence_length_histogram": lambda s, d: statistics.histogram(_rows(s, d)),
@@ -45,6 +47,7 @@ QUERIES = {
     "category_compare_burstiness": lambda s, d: statistics.compare(statistics.length_stats(_rows(s, d)), "burstiness"),
     "category_metrics": lambda s, d: statistics.melted(statistics.length_stats(_rows(s, d))),
     "repeat_starter_flags": lambda s, d: statistics.repeated_starters(_rows(s, d)),
+    "starter_pool": lambda s, d: statistics.varied_starters(_rows(s, d), DETECTORS, POOL),
 }
 ORACLE_SQL = {
     "sentence_length_stats": f"SELECT * FROM {STATS_SQL}",
@@ -58,4 +61,6 @@ ORACLE_SQL = {
     "category_compare_burstiness": f"SELECT category, 'burstiness' AS metric, burstiness AS value FROM {STATS_SQL}",
     "category_metrics": " UNION ALL ".join(f"SELECT category, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {STATS_SQL}" for m in statistics.METRICS),
     "repeat_starter_flags": f"SELECT doc_id, sent_no, starter FROM (SELECT doc_id, sent_no, starter, lag(starter) OVER (PARTITION BY doc_id ORDER BY sent_no) AS before FROM (SELECT doc_id, sent_no, lower(string_split(sentence, ' ')[1]) AS starter FROM {SENT_SQL})) WHERE starter = before",
+    "starter_pool": f"""SELECT doc_id, sent_no, CASE WHEN starter IN ({', '.join(map(repr, DETECTORS))}) AND nth > 1 THEN [{', '.join(map(repr, POOL))}][(nth - 2) % {len(POOL)} + 1] || substr(sentence, length(starter) + 1) ELSE sentence END AS sentence
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, starter ORDER BY sent_no) AS nth FROM (SELECT doc_id, sent_no, sentence, lower(string_split(sentence, ' ')[1]) AS starter FROM {SENT_SQL}))""",
 }

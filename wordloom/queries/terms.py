@@ -56,15 +56,24 @@ def _domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pairs(spark, sf_dir).filter(F.col("domain") == name)
 
 
+#: Pairs that need escapes, stripping and defaults, as a domain of their own behind the others.
+EDGES = Literal("ord long, ar string, en string, domain string, corpus_freq long, confidence string, cross_llm_agreement boolean, three_way_verdict string", [
+    (1, " واحد ", "a\tb", "edge", 7, None, True, "switch"), (2, "اثنان|ثلاثة", "x & <y> | \"z\"", "edge", None, "high", False, None), (3, "  ", "blank", "edge", 9, "high", None, None), (4, "أربعة", None, "edge", 9, "high", None, None),
+    (5, "خمسة", " back\\slash ", "edge", 7, "medium", None, None), (6, "ستة", "low one", "edge", 7, "low", None, None), (7, "واحد", "again", "edge", 8, "high", None, "keep"),
+])
+
+
 def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = terms.confident(pairs(spark, sf_dir), "medium", terms.PAIR_CONFIDENCE, missing="medium")
-    order = F.when(F.col("domain") == "en", 0).when(F.col("domain") == "fr", 1).when(F.col("domain") == "de", 2).otherwise(3).cast("long")
+    kept = terms.export_rows(pairs(spark, sf_dir).unionByName(EDGES.frame(spark), allowMissingColumns=True))
+    order = F.when(F.col("domain") == "en", 0).when(F.col("domain") == "fr", 1).when(F.col("domain") == "de", 2).when(F.col("domain") == "es", 3).otherwise(4).cast("long")
     return terms.dedup_domains(kept.withColumn("domain_ord", order))
 
 
 GATHERED_SQL = f"""(SELECT *, row_number() OVER (ORDER BY corpus_freq DESC, seen) AS position FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY corpus_freq DESC, domain_ord, ord) AS pick, min(domain_ord * 1000000 + ord) OVER (PARTITION BY ar) AS seen
-FROM (SELECT *, CASE domain WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS domain_ord FROM {PAIRS_SQL} WHERE CASE coalesce(confidence, 'medium') WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END >= 2)) WHERE pick = 1)"""
+FROM (SELECT ord, trim(ar) AS ar, trim(en) AS en, domain, coalesce(corpus_freq, 0) AS corpus_freq, coalesce(confidence, 'medium') AS confidence, cross_llm_agreement, three_way_verdict, CASE domain WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS domain_ord
+FROM (SELECT ord, ar, en, domain, corpus_freq, confidence, NULL AS cross_llm_agreement, NULL AS three_way_verdict FROM {PAIRS_SQL} UNION ALL SELECT * FROM {EDGES.sql()}) WHERE coalesce(confidence, 'medium') IN ('medium', 'high') AND trim(coalesce(ar, '')) != '' AND trim(coalesce(en, '')) != '')) WHERE pick = 1)"""
 _E = ENTRIES.sql()
+_XML = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _STRIP = lambda c: f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 _C, _N = _STRIP("calque"), _STRIP('"natural"')
 _VALID = f"""(SELECT * REPLACE ({_C} AS calque, {_N} AS "natural") FROM {_E} WHERE {_C} != '' AND {_N} != '' AND {_C} != {_N})"""
@@ -131,9 +140,14 @@ QUERIES = {
     "consumer_view_minimal": lambda s, d: terms.minimal_view(ENTRIES.frame(s)),
     "consumer_view_standard": lambda s, d: terms.standard_view(ENTRIES.frame(s)),
     "export_tsv": lambda s, d: exports.tsv(_gathered(s, d)),
-    "export_json": lambda s, d: exports.json_lines(_gathered(s, d), ("en", "ar", "domain", "corpus_freq", "confidence")),
+    "export_json": lambda s, d: exports.json_lines(_gathered(s, d)),
     "export_tbx": lambda s, d: exports.tbx(_gathered(s, d)),
-    "export_markdown": lambda s, d: exports.markdown(_gathered(s, d), ("en", "ar", "domain", "corpus_freq")),
+    "export_markdown": lambda s, d: exports.markdown(_gathered(s, d)),
+    "export_json_array": lambda s, d: exports.json_array(EDGES.frame(s).withColumn("position", F.col("ord")), ("en", "corpus_freq", "cross_llm_agreement")),
+    "view_minimal_tsv": lambda s, d: exports.view_lines(terms.minimal_view(ENTRIES.frame(s)), "minimal", "tsv"),
+    "view_standard_markdown": lambda s, d: exports.view_lines(terms.standard_view(ENTRIES.frame(s)), "standard", "markdown"),
+    "union_domains": lambda s, d: terms.union_domains({"de": _domain(s, d, "de").select("ord", "ar", "en"), "edge": EDGES.frame(s).select("ord", "ar", "en", "three_way_verdict")}),
+    "corpus_confirmed": lambda s, d: terms.confirmed_naturals(ENTRIES.frame(s).select("ord", "natural"), ENTRIES.frame(s).filter("ord % 3 = 1").select(F.trim("natural").alias("term"))),
 }
 _first_en = f"(SELECT * FROM {PAIRS_SQL} WHERE domain = 'en')"
 ORACLE_SQL = {
@@ -146,12 +160,13 @@ ORACLE_SQL = {
     "domain_filter": f"SELECT ord, en, corpus_freq FROM {PAIRS_SQL} WHERE domain = 'de'",
     "confidence_threshold": f"SELECT ord, en, confidence FROM {_E} WHERE {_RANK} >= 3",
     "pair_confidence_threshold": f"SELECT domain, confidence, count(*) AS n FROM {PAIRS_SQL} WHERE CASE coalesce(confidence, 'medium') WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END >= 2 GROUP BY 1, 2",
-    "canonical_entry": f'SELECT en, ord, "natural" FROM (SELECT *, row_number() OVER (PARTITION BY en ORDER BY {_RANK} DESC, ord) AS rn FROM {_E}) WHERE rn = 1',
+    "canonical_entry": f'''SELECT en, ord, "natural" FROM (SELECT *, row_number() OVER (PARTITION BY en ORDER BY CASE confidence WHEN 'high' THEN 4 WHEN 'topic-guarded' THEN 3 WHEN 'medium' THEN 2 WHEN 'medium_consensus' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord) AS rn FROM {_E}) WHERE rn = 1''',
     "topic_guard_stats": f"SELECT count(*) AS n_entries, CAST(count_if(confidence = 'high') AS BIGINT) AS n_high, CAST(count_if(confidence = 'high_user_attested') AS BIGINT) AS n_attested, CAST(count_if({_GUARD}) AS BIGINT) AS n_guarded, CAST(count_if(coalesce(corpus_hits, 0) > 0) AS BIGINT) AS n_with_hits FROM {_E}",
     "domain_hard_filter": f"SELECT ord FROM {_E} WHERE applies_only_in_domain IS NULL OR list_contains(applies_only_in_domain, 'media')",
     "discover_domains": f"SELECT DISTINCT regexp_extract(path, '(?:^|/)terms-([^/]+)\\.json$', 1) AS domain FROM {PATHS.sql()} WHERE regexp_extract(path, '(?:^|/)terms-([^/]+)\\.json$', 1) != ''",
     "ngram_size_filter": f"SELECT domain, ngram_size, count(*) AS n FROM {PAIRS_SQL} WHERE ngram_size IN ('bigram', 'trigram') GROUP BY 1, 2",
-    "parse_proposals": "SELECT CAST(batch AS BIGINT) AS batch, CAST(pos AS BIGINT) AS pos, ar, en, domain, confidence FROM (VALUES (0, 0, 'a', 'one', 'x', 'HIGH '), (0, 1, 'b', '', 'x', 'high'), (1, 0, 'c', ' three ', NULL, 'medium'), (2, 0, 'd', 'four', 'Y', NULL), (6, 0, 'f', 'six', NULL, 'low')) t(batch, pos, ar, en, domain, confidence)",
+    "parse_proposals": f"""SELECT batch, CAST(i - 1 AS BIGINT) AS pos, p[i] ->> 'ar' AS ar, p[i] ->> 'en' AS en, p[i] ->> 'domain' AS domain, p[i] ->> 'confidence' AS confidence
+FROM (SELECT batch, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT batch, from_json(CASE WHEN starts_with(trim(response), '[') AND json_valid(response) THEN response ELSE regexp_extract(response, '(?s)\\[\\s*\\{{.*\\}}\\s*\\]') END, '["JSON"]') AS p FROM {RESPONSES.sql()} WHERE regexp_matches(response, '(?s)\\[\\s*\\{{.*\\}}\\s*\\]')))""",
     "pair_join_proposals": f"""SELECT c.ar, c.corpus_freq, c.ngram_size, trim(p.en) AS en, coalesce(p.confidence, 'medium') AS confidence, lower(p.domain) AS domain, p.proposer FROM {_first_en} c JOIN (SELECT * FROM {_first_en} WHERE ord % 2 = 0 AND ord % 10 != 0) p USING (ar) WHERE coalesce(p.confidence, 'medium') != 'low'""",
     "second_vendor_agreement": f"""WITH one AS (SELECT ar, en, confidence FROM {_first_en} WHERE era_locked IS NULL), alt AS (SELECT ar, arg_max(alt, ord) AS alt FROM (SELECT ar, ord, {_CONFIRMED_ALT} AS alt FROM {_first_en} WHERE ord % 7 != 0) GROUP BY ar),
 j AS (SELECT one.*, alt.alt, coalesce(alt.alt, '') != '' AND (contains(lower(en), lower(alt.alt)) OR contains(lower(alt.alt), lower(en))) AS cross_agreement FROM one LEFT JOIN alt USING (ar))
@@ -172,8 +187,17 @@ FROM (SELECT p.ar, p.proposer, CAST(count_if(coalesce(v.agree, false)) AS BIGINT
     "duplicate_terms": f"SELECT count(*) - count(DISTINCT ar) AS n_duplicates FROM {PAIRS_SQL}",
     "consumer_view_minimal": f'SELECT calque, arg_max("natural", ord) AS "natural" FROM {_VALID} GROUP BY calque',
     "consumer_view_standard": f'SELECT calque, arg_max("natural", ord) AS "natural", arg_max(domain, ord) AS domain, arg_max(confidence, ord) AS confidence, arg_max({_GUARD}, ord) AS is_topic_guarded FROM {_VALID} GROUP BY calque',
-    "export_tsv": f"SELECT position, en || chr(9) || ar || chr(9) || domain || chr(9) || corpus_freq || chr(9) || coalesce(confidence, '') AS line FROM {GATHERED_SQL}",
-    "export_json": f"""SELECT position, '{{"en":"' || en || '","ar":"' || ar || '","domain":"' || domain || '","corpus_freq":' || corpus_freq || CASE WHEN confidence IS NULL THEN '' ELSE ',"confidence":"' || confidence || '"' END || '}}' AS line FROM {GATHERED_SQL}""",
-    "export_tbx": f"""SELECT position, '<termEntry id="term-' || position || '"><langSet xml:lang="en"><tig><term>' || en || '</term></tig></langSet><langSet xml:lang="ar"><tig><term>' || ar || '</term></tig></langSet></termEntry>' AS line FROM {GATHERED_SQL}""",
-    "export_markdown": f"SELECT position, '| ' || en || ' | ' || ar || ' | ' || domain || ' | ' || corpus_freq || ' |' AS line FROM {GATHERED_SQL}",
+    "export_tsv": f"SELECT position, concat_ws(chr(9), replace(en, chr(9), ' '), replace(ar, chr(9), ' '), domain, corpus_freq, confidence) AS line FROM {GATHERED_SQL} UNION ALL SELECT 0, 'en' || chr(9) || 'ar' || chr(9) || 'domain' || chr(9) || 'corpus_freq' || chr(9) || 'confidence'",
+    "export_json": f"SELECT position, CAST(to_json(struct_pack(en := en, ar := ar, domain := domain, corpus_freq := corpus_freq, confidence := confidence, cross_llm_agreement := cross_llm_agreement, three_way_verdict := three_way_verdict)) AS VARCHAR) AS line FROM {GATHERED_SQL}",
+    "export_tbx": f"""SELECT position, '    <termEntry id="term-' || position || '">' || chr(10) || '      <descrip type="subjectField">' || domain || '</descrip>' || chr(10) || '      <descrip type="reliability">' || confidence || '</descrip>' || chr(10) || '      <descrip type="corpusFrequency">' || corpus_freq || '</descrip>' || chr(10)
+|| '      <langSet xml:lang="en"><tig><term>' || {_XML('en')} || '</term></tig></langSet>' || chr(10) || '      <langSet xml:lang="ar"><tig><term>' || {_XML('ar')} || '</term></tig></langSet>' || chr(10) || '    </termEntry>' AS line FROM {GATHERED_SQL}
+UNION ALL SELECT 0, '{exports.tbx_head("terminology export")}' UNION ALL SELECT {1 << 62}, '{exports.TBX_FOOT}'""",
+    "export_markdown": f"SELECT position, '| ' || replace(en, '|', '\\|') || ' | ' || replace(ar, '|', '\\|') || ' | ' || domain || ' | ' || corpus_freq || ' | ' || confidence || ' |' AS line FROM {GATHERED_SQL} UNION ALL SELECT 0, '| EN | AR | Domain | Freq | Confidence |' || chr(10) || '|---|---|---|---|---|'",
+    "export_json_array": f"""SELECT ord AS position, '  {{' || chr(10) || '    "en": ' || coalesce(CAST(to_json(en) AS VARCHAR), 'null') || ',' || chr(10) || '    "corpus_freq": ' || coalesce(corpus_freq::VARCHAR, 'null') || ',' || chr(10) || '    "cross_llm_agreement": ' || coalesce(cross_llm_agreement::VARCHAR, 'null') || chr(10) || '  }}' || CASE WHEN ord = 7 THEN '' ELSE ',' END AS line
+FROM {EDGES.sql()} UNION ALL SELECT 0, '[' UNION ALL SELECT {1 << 62}, ']'""",
+    "view_minimal_tsv": f"SELECT calque, calque || chr(9) || arg_max(\"natural\", ord) AS line FROM {_VALID} GROUP BY calque UNION ALL SELECT NULL, 'calque' || chr(9) || 'natural'",
+    "view_standard_markdown": f"""SELECT calque, '| ' || calque || ' | ' || arg_max("natural", ord) || ' | ' || arg_max(domain, ord) || ' | ' || arg_max(confidence, ord) || ' | ' || CASE WHEN arg_max({_GUARD}, ord) THEN 'True' ELSE 'False' END || ' |' AS line FROM {_VALID} GROUP BY calque
+UNION ALL SELECT NULL, '| Calque | Natural | Domain | Confidence | Topic-guarded |' || chr(10) || '|---|---|---|---|---|'""",
+    "union_domains": f"SELECT ord, ar, en, 'de' AS source_domain, CAST(0 AS BIGINT) AS domain_ord, CAST(NULL AS VARCHAR) AS three_way_verdict FROM {PAIRS_SQL} WHERE domain = 'de' UNION ALL SELECT ord, ar, en, 'edge', 1, three_way_verdict FROM {EDGES.sql()}",
+    "corpus_confirmed": f'SELECT ord, "natural", trim("natural") IN (SELECT trim("natural") FROM {_E} WHERE ord % 3 = 1) AS corpus_confirmed FROM {_E}',
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import meta
+from wordloom.operators import matching, meta
+from wordloom.sources import articles
 
 _CATEGORY = (
     "struct<n_records:long,n_sentences:long,n_tokens:long,mean_sentence_length:double,stddev_sentence_length:double,burstiness:double,mean_tashkeel_ratio:double,"
@@ -72,3 +73,119 @@ def rule_tables(spark: SparkSession, path: str, schema: str = "input string, alt
     tables = f"tables map<string,struct<policy:string,probability:double,entries:array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>>>"
     rows = _whole(spark, path).select(F.explode(F.from_json("value", tables)["tables"]).alias("table_name", "t"))
     return rows.select("table_name", "t.policy", "t.probability", F.posexplode("t.entries").alias("ord", "e")).select("table_name", "policy", "probability", F.col("ord").cast("long").alias("ord"), "e.*")
+
+
+class Asset:
+    """One JSON file, read again when it changes: content() is its text as a table of one row."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._time, self._frame = spark, path, None, None
+
+    def content(self) -> DataFrame:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        time = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+        if time != self._time:
+            text = _whole(self.spark, self.path).first().value  # an asset is a file of some hundred kilobytes
+            self._time, self._frame = time, self.spark.createDataFrame([(text,)], "value string")
+        return self._frame
+
+    def value(self, key: str, missing: str | None = None) -> str | None:
+        """A field of the root by its name, as text."""
+        found = self.content().select(F.expr(f"try_variant_get(parse_json(value), '$[\"{key}\"]', 'string')").alias("v")).first().v
+        return missing if found is None else found
+
+    def keys(self, field: str) -> list[str]:
+        """The keys of an object in the root, in the file's order."""
+        listed = F.json_object_keys(F.get_json_object("value", f"$.{field}"))
+        return list(self.content().select(F.coalesce(listed, F.array().cast("array<string>")).alias("k")).first().k)
+
+    def known(self, field: str, key: str) -> str:
+        if key not in (there := self.keys(field)):
+            raise KeyError(f"unknown {key!r} in {field}; known: {', '.join(sorted(there))}")
+        return key
+
+
+class Statistics(Asset):
+    """Distributional statistics by category; a category is one of `declared`, where these are given."""
+
+    def __init__(self, spark: SparkSession, path: str, declared: tuple[str, ...] | None = None):
+        super().__init__(spark, path)
+        self.declared = declared
+
+    def metadata(self) -> dict[str, str | None]:
+        return {k: self.value(k) for k in ("input", "sample_size", "skipped", "elapsed_s")}
+
+    def category(self, name: str) -> DataFrame:
+        """One row. An undeclared category is a KeyError, a declared one that the data lack a StatsError."""
+        if self.declared is not None and name not in self.declared:
+            raise KeyError(f"unknown category {name!r}; known: {', '.join(self.declared)}")
+        if name not in self.keys("categories"):
+            raise StatsError(f"category {name!r} is declared, but the data have none")
+        parsed = F.from_json("value", f"categories map<string,{_CATEGORY}>")["categories"]
+        return self.content().select(F.lit(name).alias("category"), F.element_at(parsed, name).alias("s")).select("category", "s.*")
+
+    def number(self, name: str, field: str) -> float:
+        """n_tokens, n_sentences, mean_sentence_length, burstiness ...: 0 where it is missing."""
+        return self.category(name).select(F.coalesce(F.col(field).cast("double"), F.lit(0.0)).alias("v")).first().v
+
+
+class Registry(Asset):
+    """Versions of assets and what consumers require of them; unknown ids and consumers are KeyErrors."""
+
+    def version(self) -> str:
+        return self.value("$registry_version", "unknown")
+
+    def assets(self) -> list[str]:
+        return sorted(self.keys("assets"))
+
+    def asset(self, asset_id: str) -> tuple[str, str, list[str]]:
+        """Current version, compatibility band and breaking versions."""
+        parsed = F.from_json("value", "assets map<string,struct<current_version:string,compatibility:string,breaking_versions:array<string>>>")["assets"]
+        row = self.content().select(F.element_at(parsed, self.known("assets", asset_id)).alias("a")).select("a.*").first()
+        return row.current_version, row.compatibility, list(row.breaking_versions or [])
+
+    def required_for(self, consumer: str) -> dict[str, str]:
+        self.known("consumer_declared_requirements", consumer)
+        return {r.asset_id: r.requirement for r in registry(self.spark, self.path)[1].filter(F.col("consumer") == consumer).collect()}
+
+
+class RuleTables(Asset):
+    """Lexical tables by name; an unknown one is a KeyError."""
+
+    def schema_version(self) -> str | None:
+        return self.value("$schema_version")
+
+    def names(self) -> list[str]:
+        return self.keys("tables")
+
+    def table(self, name: str, schema: str = "input string, alternatives array<string>, replacement string, pattern string, source_tag string") -> DataFrame:
+        return rule_tables(self.spark, self.path, schema).filter(F.col("table_name") == self.known("tables", name))
+
+    def replacements(self, name: str) -> list[tuple[str, str]]:
+        """input and replacement in order, as connectors and numbered transitions have them."""
+        return [(r.input, r.replacement) for r in self.table(name).filter("input is not null and replacement is not null").orderBy("ord").collect()]
+
+    def listed(self, name: str, field: str) -> list[str]:
+        """A list of plain strings in a table: detectors and replacements of starters, entries of fillers."""
+        parsed = F.from_json(F.get_json_object("value", f"$.tables.{self.known('tables', name)}.{field}"), "array<string>")
+        return list(self.content().select(F.coalesce(parsed, F.array().cast("array<string>")).alias("x")).first().x)
+
+
+class Entries(Asset):
+    """A dictionary, candidates or pairs: a bare list, or an object with entries, candidates or pairs."""
+
+    def rows(self, schema: str) -> DataFrame:
+        return articles.read_entries(self.spark, self.path, schema)
+
+    def count(self) -> int:
+        return self.rows("ar string").count()
+
+    def patterns(self, side: str) -> list[str]:
+        """The values of a field for the matcher, in order, empty ones left out."""
+        return matching.pattern_list(self.rows(f"{side} string").orderBy("ord"), side)
+
+
+def scan_files(spark: SparkSession, path: str, patterns: list[str]) -> DataFrame:
+    """Matches in whole text files: path, start, end, pattern."""
+    files = spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return matching.match_automaton(files, patterns).join(files.select("doc_id", "path"), "doc_id").drop("doc_id")
