@@ -42,15 +42,52 @@ def texts(spark):
     return {r.doc_id: r.text for r in _docs(spark).collect()}
 
 
-@pytest.mark.parametrize("run", [near_dups.classes, licenses.scan, packing.pack, pii.find, merge_automaton.encode_words, token_counts.attribute, substrings.deduplicate, lambda d: quality.quality_rules(d, None), lambda d: media.resolve(media.sequences(d.withColumnRenamed("text", "html"), "doc_id"), d)])
-def test_odd_rows_and_empty_tables(spark, run):
-    assert run(_none(spark)).count() == 0
-    assert run(_odd(spark)).count() >= 0
+OPERATORS = [near_dups.classes, near_dups.keep, licenses.scan, packing.pack, pii.find, merge_automaton.encode_words, token_counts.attribute, substrings.deduplicate, lambda d: quality.quality_rules(d, None), lambda d: media.resolve(media.sequences(d.withColumnRenamed("text", "html"), "doc_id"), d)]
 
 
-def test_one_row_each(spark):
-    for run in (near_dups.classes, licenses.scan, pii.find, merge_automaton.encode_words, substrings.deduplicate, lambda d: quality.quality_rules(d, None)):
-        assert run(_odd(spark)).count() == len(ODD) + 2
+@pytest.mark.parametrize("run", OPERATORS)
+def test_empty_tables(spark, run):
+    assert run(_none(spark)).collect() == []
+
+
+def test_odd_rows(spark):
+    """What each operator gives for null, empty, very long and repeated texts, a null id and clashing names, against plain Python."""
+    df = _odd(spark)
+    rows = [(r.doc_id, r.text or "") for r in df.collect()]
+    each = lambda found, *columns: collections.Counter(tuple(r[c] for c in columns) for r in found.collect())
+    want = lambda of: collections.Counter((i, *of(t)) for i, t in rows)
+    words = {t: WORD.findall(t) for _, t in rows}
+
+    first, copies = {}, collections.Counter(t for _, t in rows)
+    for i, t in rows:
+        first[t] = min(first.get(t, i), i, key=lambda x: (x is None, x))
+    assert each(near_dups.classes(df), "doc_id", "class_id", "copies", "kept") == collections.Counter((i, first[t], copies[t], i == first[t]) for i, t in rows)
+    kept = near_dups.keep(df)
+    assert kept.columns == df.columns and collections.Counter((r.doc_id, r.text or "") for r in kept.collect()) == collections.Counter({(i, t): 1 for i, t in rows if i == first[t]})
+
+    plain = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    assert each(licenses.scan(df), "doc_id", "n_words", "n_base", "first_word", "labels", "score") == want(lambda t: (len(plain.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))), 0, None, "", 0.0))
+
+    bytes_, words_ = (Tokenizer.from_file(byte_bpe.vocabulary_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    n_bytes = {t: len(bytes_.encode(t, add_special_tokens=False).ids) for _, t in rows}
+    packed = collections.defaultdict(int)
+    for r in packing.pack(df).collect():
+        packed[r.doc_id, r.doc_tokens] += r.length
+    assert packed == {k: k[1] * n for k, n in want(lambda t: (n_bytes[t] + 1,)).items()}
+    sections = token_counts.attribute(df).groupBy("doc_id", "doc_tokens").agg(F.sum("n_tokens").alias("n"))
+    assert {(r.doc_id, r.doc_tokens): r.n for r in sections.collect()} == {k: k[1] * n for k, n in want(lambda t: (n_bytes[t],)).items()}
+
+    def coded(t):
+        ids = words_.encode(t, add_special_tokens=False).ids
+        return np.array(ids, np.uint32).tobytes(), words_.decode(ids, skip_special_tokens=False)
+
+    assert collections.Counter((r.doc_id, bytes(r.ids), r.decoded) for r in merge_automaton.encode_words(df).collect()) == want(coded)
+    assert each(pii.find(df).withColumn("n", F.size("spans")), "doc_id", "text", "n") == want(lambda t: (t, 0))
+    assert each(substrings.deduplicate(df), "doc_id", "n_words", "n_removed", "kept") == want(lambda t: (len(words[t]), 0, " ".join(words[t])))
+    assert each(quality.quality_rules(df, None), "doc_id", "n_words", "word_chars", "kept") == want(lambda t: (len(words[t]), sum(map(len, words[t])), False))
+    stored = media.features(media.store(df)).select("digest", "n_bytes").collect()
+    assert collections.Counter((r.digest, r.n_bytes) for r in stored) == collections.Counter((hashlib.sha256(t.encode()).hexdigest(), len(t.encode())) for _, t in rows)
+    assert media.sequences(df.withColumn("html", F.lit(None).cast("string")), "doc_id").filter("size(items) > 0").count() == 0
 
 
 # near duplicates
@@ -497,6 +534,13 @@ def test_quality_held_out(spark):
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def test_document_with_two_labels_is_good_only_by_both(spark):
+    good, bad = " ".join(f"g{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(0, 40, 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    assert {r.doc_id % 2: r.kept for r in quality.quality_rules(docs, labels).collect()} == {0: False, 1: True}
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "few words")], "doc_id long, text string")
     for labels in (None, spark.createDataFrame([], "doc_id long, quality int")):
@@ -577,14 +621,44 @@ def test_circles_end(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage's rows against plain Python on the rows of the one before."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = _docs(spark)
-    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    docs, rows = _docs(spark), {}
+    rows["documents"] = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
-        after = spark.read.parquet(str(tmp_path / name))
-        if number < 4:
-            assert after.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < after.count() <= docs.count()
-            docs = after
-    packed = after.agg(F.countDistinct("doc_id")).first()[0]
-    assert packed == docs.count()
-    assert corpus_pipeline.run(spark, SF).count() == after.count()
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            rows[name] = {r.doc_id: r for r in docs.collect()}
+            assert len(rows[name]) == docs.count() and all(r.n_chars == len(r.text) for r in rows[name].values())
+    same = lambda after, before: all(rows[before][i] == r for i, r in rows[after].items())
+
+    verdicts = {r.doc_id for r in quality.op8_hashed_llr_quality(spark, SF).filter("kept").collect()}
+    assert set(rows["quality"]) == verdicts and same("quality", "documents")
+
+    own = {i: r.text.split() for i, r in rows["quality"].items()}
+    assert same("near_dedup", "quality")
+    for i in set(own) - set(rows["near_dedup"]):  # whoever went is near to one that is before it
+        assert any(j < i and near_dups.similarity(own[i], own[j], 0.8) is not None for j in own)
+    left = sorted(rows["near_dedup"])
+    assert len({" ".join(own[i]) for i in left}) == len(left)
+
+    cut = {i: WORD.findall(r.text) for i, r in rows["substring_dedup"].items()}
+    want = {i: kept.split() for i, _, _, kept in _removed([(i, rows["near_dedup"][i].text) for i in left])}
+    assert cut == want
+
+    for i, r in rows["pii"].items():
+        before = rows["substring_dedup"][i].text
+        spans = [x.split(":") for x in _base_spans(before).split(",") if x]
+        assert r.lang == rows["substring_dedup"][i].lang and (r.text == before or "[" in r.text)
+        assert all(before[int(a) : int(b)] not in r.text for k, a, b in spans if k in ("email", "card"))
+
+    bpe = Tokenizer.from_file(byte_bpe.vocabulary_path("byte_bpe_50k.json"))
+    pieces = collections.defaultdict(list)
+    for r in docs.collect():
+        pieces[r.doc_id].append((r.start, bytes(r.ids)))
+        assert r.ids_crc32 == zlib.crc32(r.ids)
+    assert {i: np.frombuffer(b"".join(x for _, x in sorted(p)), np.uint32).tolist() for i, p in pieces.items()} == {i: [*bpe.encode(r.text, add_special_tokens=False).ids, 1] for i, r in rows["pii"].items()}
+    whole = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, whole.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect()))

@@ -84,10 +84,13 @@ def counts(docs: DataFrame, trusted: np.ndarray, bits: int = BITS) -> tuple[np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, bits: int = BITS, labelled: int = LABELLED, good_lost: float = GOOD_LOST, smoothing: float = SMOOTHING) -> Model:
-    """docs: doc_id and text; labels: doc_id and quality (1: good). Without a good label every score is 0 and is kept."""
+    """docs: doc_id and text; labels: doc_id and quality (1: good). Without a good label every score is 0 and is kept.
+
+    A document with several labels is good if all are; labels without an id or a quality count for nothing.
+    """
     if labels is None:
         return Model(None, -np.inf)
-    sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toArrow()
+    sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toArrow()
     ids, good = sample["doc_id"].to_numpy(), sample["quality"].to_numpy() == 1
     if not good.any():
         return Model(None, -np.inf)
@@ -154,7 +157,7 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fit on the documents and their labels, then judge every document. Null texts count as empty; repeated rows are judged each."""
+    """Fit on the documents and their labels, then judge every document. Null texts count as empty, texts of any length are read whole; repeated rows are judged each, and a table without rows has no verdicts."""
     own = texts(docs, doc_id, text)
     return score(own, fit(own, labels))
 
