@@ -131,10 +131,10 @@ def top_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample contexts of the 50 best terms, from the first 200 documents."""
+    """Three sample contexts of each of the 50 best terms, from all documents."""
     docs = ar_documents(spark, sf_dir)
     best = mining.top_candidates(mining.frequencies(mining.occurrences(docs)), TOP, LEAST).filter("rank <= 50")
-    return mining.contexts(docs, best, first_docs=200)
+    return mining.contexts(docs, best)
 
 
 def size_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ ORACLE_SQL = {
     "mine_top_candidates": _top_sql(FREQ_SQL),
     "mine_candidates_without_stopwords": _top_sql(f"(SELECT * FROM {FREQ_SQL} WHERE {_STOPPED})"),
     "candidate_contexts": f"""WITH best AS (SELECT term FROM ({_top_sql(FREQ_SQL)}) WHERE rank <= 50),
-plain AS (SELECT doc_id, translate(text, '{arabic.MINING_MARKS}', '') AS plain FROM {AR_SQL} WHERE doc_id < 200),
+plain AS (SELECT doc_id, translate(text, '{arabic.MINING_MARKS}', '') AS plain FROM {AR_SQL}),
 hits AS (SELECT term, doc_id, plain, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS sample_no, strpos(plain, term) AS place FROM plain JOIN best ON contains(plain, term))
 SELECT term, sample_no, doc_id, trim(replace(substr(plain, greatest(1, place - 50), place - greatest(1, place - 50) + length(term) + 50), chr(10), ' ')) AS context FROM hits WHERE sample_no <= 3""",
     "ngram_size_by_source_pivot": f"""SELECT source, CAST(count_if(n = 1) AS BIGINT) AS unigram, CAST(count_if(n = 2) AS BIGINT) AS bigram, CAST(count_if(n = 3) AS BIGINT) AS trigram, count(*) AS total
