@@ -69,3 +69,18 @@ def test_accessors(spark, tmp_path):
     assert entries.count() == 3 and entries.patterns("ar") == ["ب", "ا"] and entries.patterns("en") == ["b", "x", "a"]
     (tmp_path / "text.txt").write_text("ab ba", encoding="utf-8")
     assert sorted(tuple(r)[:3] for r in assets.scan_files(spark, str(tmp_path / "text.txt"), ["a", "ba"]).collect()) == [(0, 1, "a"), (3, 5, "ba"), (4, 5, "a")]
+
+
+def test_health(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"$schema_version": "1.0.0", "entries": [1, 2, 3]}')
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "c.json").write_text("[1]")
+
+    def probe(vendor):
+        if vendor == "off":
+            raise OSError("refused")
+        return vendor == "on"
+
+    files = {n: str(tmp_path / f"{n}.json") for n in "abcd"}
+    got = [tuple(r) for r in assets.health_report(spark, files, {"a": "entries"}, ("on", "off", "ill"), probe).drop("path").collect()]
+    assert got == [("a", "OK", 50, 3, "1.0.0"), ("b", "UNREADABLE", 7, None, None), ("c", "OK", 3, None, None), ("d", "MISSING", None, None, None), ("on", "OK", None, None, None), ("off", "UNREACHABLE", None, None, None), ("ill", "UNREACHABLE", None, None, None)]

@@ -97,6 +97,7 @@ def test_pairing_end_to_end(spark):
     candidates = spark.createDataFrame(rows, "rank long, term string, freq long, ngram_size string")
     pairs = {r.ar: (r.en, r.confidence, r.corpus_freq, r.proposer) for r in pairing.pair(candidates, "one", vendor_answer, size=4).collect()}
     assert pairs == {t: (f"{t} word", "medium", 10 - n, "one") for n, t in ((2, "b"), (3, "c"), (4, "d"))}
+    assert [r.ar for r in pairing.pair(candidates, "one", vendor_answer, size=4, most=2).collect()] == ["b"]
     both = {r.ar: (r.confidence, r.cross_agreement, r.disagreement_alt_en) for r in pairing.pair(candidates, "one", vendor_answer, "two", 4).collect()}
     assert both == {"b": ("high", True, None), "c": ("medium", False, "other"), "d": ("medium", False, "other")}
 

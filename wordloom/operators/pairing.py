@@ -16,11 +16,13 @@ def proposals(candidates: DataFrame, vendor: str, transport: remote.Transport, s
     return found.withColumn("proposer", F.lit(vendor))
 
 
-def pair(candidates: DataFrame, vendor: str, transport: remote.Transport, second: str | None = None, size: int = 20, keep_low: bool = False, **options) -> DataFrame:
+def pair(candidates: DataFrame, vendor: str, transport: remote.Transport, second: str | None = None, size: int = 20, keep_low: bool = False, most: int | None = None, **options) -> DataFrame:
     """Candidates (rank, term, freq, ngram_size) with the vendor's proposal; with a second vendor, with its agreement or its own proposal too.
 
-    Calls are made once for each use of the result: write it before going on.
+    most: only the candidates of the best ranks so far are asked about (default: all). Calls are made once for each use of the result: write it before going on.
     """
+    if most is not None:
+        candidates = candidates.filter(F.col("rank") <= most)
     pairs = terms.accept_proposals(candidates, proposals(candidates, vendor, transport, size, **options), keep_low)
     if second is None:
         return pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +187,33 @@ class Entries(Asset):
         return matching.pattern_list(self.rows(f"{side} string").orderBy("ord"), side)
 
 
+def health_report(spark: SparkSession, files: dict[str, str], lists: dict[str, str] | None = None, vendors: tuple[str, ...] = (), probe: Callable[[str], bool] | None = None) -> DataFrame:
+    """asset, path, status (OK, UNREADABLE or MISSING), size_bytes, n_items and schema_version of each file; and a row for each vendor that probe() is asked about (OK or UNREACHABLE).
+
+    lists: the field of an asset that holds its items. Missing and unreadable files are rows, not errors; so is a probe that raises.
+    """
+    rows = []
+    for name, path in files.items():
+        asset, size, n_items, version = Asset(spark, path), None, None, None
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(where):
+            size, field = store.getFileStatus(where).getLen(), (lists or {}).get(name)
+            root = asset.content().select(F.try_parse_json("value").isNotNull().alias("good"), F.json_array_length(F.get_json_object("value", f"$.{field}")).alias("n") if field else F.lit(None).cast("int").alias("n")).first()
+            status, n_items = ("OK", root.n) if root.good else ("UNREADABLE", None)
+            version = asset.value("$schema_version") if root.good else None
+        else:
+            status = "MISSING"
+        rows.append((name, path, status, size, n_items, version))
+    for vendor in vendors if probe else ():
+        try:
+            reached = probe(vendor)
+        except Exception:  # the row says so
+            reached = False
+        rows.append((vendor, None, "OK" if reached else "UNREACHABLE", None, None, None))
+    return spark.createDataFrame(rows, "asset string, path string, status string, size_bytes long, n_items long, schema_version string")
+
+
 def scan_files(spark: SparkSession, path: str, patterns: list[str]) -> DataFrame:
     """Matches in whole text files: path, start, end, pattern."""
     files = spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
