@@ -38,6 +38,17 @@ def test_query(spark, duck, name):
     assert got == _rows([tuple(r[i] for i in at) for r in out.fetchall()])
 
 
+def test_second_vendor_of_wide_letters_and_shared_terms(spark, tmp_path):
+    """ß in upper case is one letter; two words of one Arabic form are two pairs."""
+    words = {"the": 20, "and": 19, "erstß": 18, "aaa": 17, "ااا": 16, "ﬁve": 15}
+    spark.createDataFrame([("en", " ".join(w for w, n in words.items() for _ in range(n)))], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = con.sql(catalogue.oracle_sql()["second_vendor_agreement"])
+    got = catalogue.queries()["second_vendor_agreement"](spark, str(tmp_path)).select(*out.columns).collect()
+    assert _rows(got) == _rows(out.fetchall()) and len(got) == 5
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import text
 from wordloom.operators import terms
 from wordloom.plans.inputs import ARABIC, LATIN, Literal, spread, table
 from wordloom.sources import articles, exports
@@ -84,13 +85,13 @@ _RANK = "CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'medium_con
 def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second vendor's proposals: some equal, some longer, some other, some missing; later ones win."""
     own = _domain(spark, sf_dir, "en").filter("ord % 7 != 0")
-    alt = F.when(F.col("ord") % 3 == 0, F.upper("en")).when(F.col("ord") % 3 == 1, F.concat("en", F.lit(" thing"))).otherwise(F.lit("other"))
+    alt = F.when(F.col("ord") % 3 == 0, text.upper(F.col("en"))).when(F.col("ord") % 3 == 1, F.concat("en", F.lit(" thing"))).otherwise(F.lit("other"))
     first = own.select("ar", F.lit("draft").alias("en"), F.lit(0).cast("long").alias("ord"))
     return first.unionByName(own.select("ar", alt.alias("en"), (F.col("ord") + 1).alias("ord")))
 
 
 def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _domain(spark, sf_dir, "en").filter("era_locked is null").dropDuplicates(["ar"]).select("ar", "en", "confidence")
+    one = _domain(spark, sf_dir, "en").filter("era_locked is null").select("ar", "en", "confidence")
     return terms.confirm(one, _second(spark, sf_dir))
 
 
