@@ -157,6 +157,48 @@ def test_star_shaped_group(spark):
     assert {r.class_id for r in got.collect()} == {0}
 
 
+def test_members_that_match_nobody_are_not_paired_with_all(spark, monkeypatch):
+    """A large group around one text, and as many that are a little too far from each of it: classes as by brute force, pairs in proportion."""
+    random.seed(5)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for i in range(81):
+        own = list(base)
+        for at in random.sample(range(100), 0 if not i else 7 if i % 2 else 24):
+            own[at] = f"x{i}y{at}"
+        texts.append(own)
+    met, verify = [], near_dups.verify
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(near_dups, "verify", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs, k=1).collect()}
+    near = [[near_dups.similarity(a, b, 0.8) is not None for b in texts] for a in texts]
+    want = list(range(81))
+    for _ in range(81):
+        want = [min(want[j] for j in range(81) if near[i][j]) for i in range(81)]
+    assert got == dict(enumerate(want)) and sum(met) < 81 * 10
+
+
+def test_bag_filter_leaves_no_match_out():
+    random.seed(6)
+    for _ in range(60):
+        base = [random.choice("abcdefghijkl") for _ in range(random.randrange(1, 60))]
+        made = []
+        for _ in range(12):
+            own = list(base)
+            for _ in range(random.randrange(1 + len(base) // 4)):
+                at = random.randrange(len(own) + 1)
+                own[at : at + random.randrange(2)] = random.choice(["", "x", "ab", "abc"])
+            made.append(own or ["z"])
+        known = near_dups.Near([" ".join(t).encode() for t in made[1:]], [0] * 11, 0.8)
+        at = known.match(" ".join(made[0]).encode(), 0)
+        near = [i for i, t in enumerate(made[1:]) if near_dups.similarity(t, made[0], 0.8) is not None]
+        assert at in near if near else at is None
+
+
 def test_classes_are_of_texts(spark):
     """Unlike texts are kept, whatever ids they share with copies; repeated rows and copies without an id go."""
     near = " ".join(f"w{i}" for i in range(60))
